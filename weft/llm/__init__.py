@@ -7,7 +7,7 @@ DuckDB SQL for those that SQL can express.
 from importlib import import_module
 
 #: Modules that hold one operator each, in the order of the operator list.
-MODULES = ("bpe", "quality", "tokenfile", "pii", "langid", "linededup", "packing", "ann", "htmltext")
+MODULES = ("bpe", "quality", "tokenfile", "pii", "langid", "linededup", "jaccard", "packing", "ann", "htmltext")
 
 
 def _collect(name):
