@@ -39,7 +39,7 @@ SKETCH_BITS = 512
 #: Rows of ids that may be broadcast; above it the join is shuffled.
 BROADCAST_IDS = 200_000
 #: Cost of a chance meeting of two sets in a segment, in index rows.
-MEETING = 200.0
+MEETING = 10.0
 
 _HASHES = WordHashes()
 
@@ -66,7 +66,7 @@ class Scheme:
         bound = differing(high, num, den)
         middle = (low + high) / 2
         chance = (bound + 1) * math.exp(-min(50.0, low / (bound + 1)))
-        self.slack = min(60, math.ceil(chance + 2 * math.sqrt(chance)) + 1) if bound else 0
+        self.slack = min(1 << 17, math.ceil(chance + 2 * math.sqrt(chance)) + 1) if bound else 0
         weight = bound + 1 + self.slack
         best = None
         for double in {*range(0, min(weight // 2, 24) + 1), weight // 2}:
@@ -129,7 +129,7 @@ def index_rows(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
         weights = np.where(np.arange(s.n) < s.plain, 1, 2)
         weak = int((weights * (held <= (weights - 1)))[:n_written].sum())
         left = s.slack - weak
-        info = (number << 8) | (max(0, left) << 2)
+        info = (number << 20) | (max(0, left) << 2)
 
         def signed(lo, hi, seg):
             with np.errstate(over="ignore"):
@@ -343,7 +343,7 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     met = written(met.distinct(), "join-index")
     counts = met.groupBy("signature").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("m1"), F.max("name").alias("m2")).where("m1 <> m2").select("signature", "c")
     members = written(met.join(counts, "signature"), "join-members")
-    weight, slack, band = F.col("info").bitwiseAND(3), F.shiftright("info", 2).bitwiseAND(63), F.shiftright("info", 8)
+    weight, slack, band = F.col("info").bitwiseAND(3), F.shiftright("info", 2).bitwiseAND(0x3FFFF), F.shiftright("info", 20)
     crowd = members.where(F.col("c") > CROWDED).groupBy("name", band.alias("band")).agg(F.sum(weight).alias("load"))
     members = members.withColumn("band", band).join(crowd, ["name", "band"], "left")
     stays = (F.col("c") <= CROWDED) | (F.col("load") > slack) | (weight == 3)
