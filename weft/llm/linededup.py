@@ -108,20 +108,21 @@ def later_runs(levels: list[DataFrame]) -> DataFrame | None:
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """df with the lines of later copies deleted from ``text``, and columns n_lines, n_deleted (int)."""
-    keyed = with_key(df.drop("n_lines", "n_deleted"), key, text)
-    lines = written(line_rows(keyed, text, min_words), "lines")
+    """df with the lines of later copies deleted from ``text``; n_lines and n_deleted (int) are added, or replaced."""
+    df = df.drop("n_lines", "n_deleted")
+    others = [c for c in df.columns if c not in (key, text)]
+    packed = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_0"), *others).alias("_row"))
+    keyed = with_key(packed, "_key", "_text")
+    lines = written(line_rows(keyed, "_text", min_words), "lines")
     runs = later_runs(suffix_ranks(lines))
     # a document's runs are bounded by its own lines
     marks = written(runs.groupBy("d", "h").agg(F.collect_set(F.struct("line", "need")).alias("_runs")), "line-marks")
-    joined = keyed.join(marks, ["d", "h"], "left").drop("d", "h")
-    names = [f.name for f in joined.schema.fields if f.name != "_runs"]
-    place = names.index(text)
+    joined = keyed.join(marks, ["d", "h"], "left").select("_key", "_text", "_row", "_runs")
 
     def run(batches):
         for batch in batches:
             texts, n_lines, n_deleted = [], [], []
-            for t, runs_ in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
+            for t, runs_ in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 parts = t.split("\n") if t else []
                 gone = 0
                 if runs_:
@@ -136,12 +137,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
                 texts.append(t)
                 n_lines.append(len(parts))
                 n_deleted.append(gone)
-            columns = list(batch.columns[: len(names)])
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], [*names, "n_lines", "n_deleted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], ["_key", "_text", "_row", "n_lines", "n_deleted"])
 
-    schema = T.StructType([*[f for f in joined.schema.fields if f.name != "_runs"], T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())])
-    return joined.select(*names, "_runs").mapInArrow(run, schema)
+    fields = [*[f for f in joined.schema.fields if f.name != "_runs"], T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())]
+    done = joined.mapInArrow(run, T.StructType(fields))
+    place = {key: "_key", text: "_text"}
+    return done.select(*[F.col(place[c]).alias(c) if c in place else F.col("_row").getField(c).alias(c) for c in df.columns], "n_lines", "n_deleted")
 
 
 def op6_linededup(spark, sf_dir):

@@ -90,6 +90,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[l
 def pack(df: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """df with bucket int, padded_to long, batch_id long and place int; batches are numbered through all buckets."""
     spark = df.sparkSession
+    df = df.drop("bucket", "padded_to", "batch_id", "place")
     histogram = df.groupBy(rounded(F.coalesce(F.col(length), F.lit(0).cast("long"))).alias("length")).count().collect()
     bounds, _ = boundaries(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     if not bounds:
