@@ -117,7 +117,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     runs = later_runs(suffix_ranks(lines))
     # a document's runs are bounded by its own lines
     marks = written(runs.groupBy("d", "h").agg(F.collect_set(F.struct("line", "need")).alias("_runs")), "line-marks")
-    joined = keyed.join(marks, ["d", "h"], "left").select("_key", "_text", "_row", "_runs")
+    # a merge join at every size: how many marks there are follows the corpus
+    joined = keyed.join(marks.hint("merge"), ["d", "h"], "left").select("_key", "_text", "_row", "_runs")
 
     def run(batches):
         for batch in batches:
