@@ -138,7 +138,7 @@ class WordEncoder:
     each piece is encoded by the library once and remembered, at most ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
