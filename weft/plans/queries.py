@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsontext as J
 from ..model import Graph, starts_frame
 from ..operators import bounds as B
 from ..operators import diagnose as D
+from ..operators import edit as E
 from ..operators import reach as R
 from ..operators import route as Q
 from ..operators import subgraph as S
+from ..operators import validate as V
 from .derive import star_graph
 
 H = """
@@ -224,11 +227,70 @@ def blocking_cycles(spark, sf_dir):
     return found.select("target", F.explode("cycle").alias("point"))
 
 
+# --- documents and editing -----------------------------------------------------------------------
+
+
+def validate_issues(spark, sf_dir):
+    """Every third supplier is missing, and the nations stand twice."""
+    graph = star_graph(spark, sf_dir)
+    points = graph.points.where(~((_kind(F.col("id")) == "S") & (F.element_at(F.split("id", "-"), 2).cast("long") % 3 == 0)))
+    nations = points.where(_kind(F.col("id")) == "N").withColumn("pos", F.col("pos") + 1)
+    return V.issues(graph.with_frames(points=points.unionByName(nations))).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def validate_clean(spark, sf_dir):
+    return V.issues(star_graph(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def weight_parse(spark, sf_dir):
+    """Weights written as 37.7; of every seventh order as 37.75, which is no weight (-1 and "none" here)."""
+    key = F.col("o_orderkey")
+    text = F.concat((key % 100).cast("string"), F.lit("."), (key % 10).cast("string"), F.when(key % 7 == 0, "5").otherwise(""))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key, J.weight_units_column(text).alias("weight_units"))
+    return rows.select("o_orderkey", F.coalesce("weight_units", F.lit(-1).cast("long")).alias("weight_units"), F.coalesce(J.weight_text_column(F.col("weight_units")), F.lit("none")).alias("weight"))
+
+
+def point_rename(spark, sf_dir):
+    edges = E.point_rename(star_graph(spark, sf_dir), "S-1", "S-one").hyperedges
+    return edges.where((F.col("head") == "S-one") | F.array_contains("tails", "S-one")).select("id", "head", F.array_join(F.array_sort("tails"), ",").alias("tails"))
+
+
+def point_remove_cascade(spark, sf_dir):
+    left = E.point_remove(star_graph(spark, sf_dir), "S-1", cascade=True)
+    return left.hyperedges.groupBy(_kind(F.col("id")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+OPERATIONS = """[{"op": "point.add", "id": "X"}, {"op": "point.rename", "id": "X", "newId": "Y"}, {"op": "point.data.set", "id": "Y", "pointer": "/k", "value": 1.50},
+  {"op": "hyperedge.add", "id": "xy", "tails": ["R-0", "R-1"], "head": "Y", "weight": 12.5}, {"op": "hyperedge.set.tails", "id": "n-0", "tails": ["Y"]},
+  {"op": "hyperedge.set.weight", "id": "n-1", "weight": 1e1}, {"op": "hyperedge.set.head", "id": "n-2", "head": "Y"}, {"op": "point.remove", "id": "C-1", "cascade": true}]"""
+
+
+def apply_batch(spark, sf_dir):
+    edges = E.apply(star_graph(spark, sf_dir), OPERATIONS).hyperedges
+    return edges.where(_kind(F.col("id")).isin("xy", "n", "cn")).select("id", "weight_units", F.array_join("tails", ",").alias("tails"), "head")
+
+
+def json_pointer_get(spark, sf_dir):
+    found = J.json_get(F.col("props"), "/k")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", found.getField("value").alias("value"))
+
+
+def json_pointer_set(spark, sf_dir):
+    found = J.json_set(F.col("props"), "/a~1b", "[1.50]")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", found.getField("value").alias("value"))
+
+
+def json_pointer_remove(spark, sf_dir):
+    found = J.json_remove(F.col("props"), "/k")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", found.getField("value").alias("value"), found.getField("error").alias("error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         edges_by_kind, graph_size, incoming_degree, outgoing_degree, incoming_edges, outgoing_edges, closure_from_suppliers, closure_rounds, closure_restricted, dangling_points, natural_entries,
         executable_order_rounds, induced_subgraph, reachable_subgraph, depth_bounds, tree_bounds, prepaid_bounds, bracket_gap, route_orders, blocking_frontier, blocking_cycles,
+        validate_issues, validate_clean, weight_parse, point_rename, point_remove_cascade, apply_batch, json_pointer_get, json_pointer_set, json_pointer_remove,
     )
 }
 
@@ -270,4 +332,16 @@ SELECT head AS query_id, min(cost)::BIGINT AS cost, min(cost)::BIGINT AS lower,
     "blocking_frontier": WALK + " SELECT 'S-1' AS target, p AS point FROM w",
     # all nations, customers, orders, parts and suppliers on a way back to themselves: those that reach and are reached by a nation fed by customers
     "blocking_cycles": WALK + ", f(p) AS (SELECT DISTINCT e.head FROM e WHERE e.p LIKE 'C-%' AND e.head IN (SELECT p FROM w) UNION SELECT e.p FROM f JOIN e ON e.head = f.p WHERE e.p IN (SELECT p FROM w)), b(p) AS (SELECT DISTINCT e.head FROM e WHERE e.p LIKE 'C-%' AND e.head IN (SELECT p FROM w) UNION SELECT e.head FROM b JOIN e ON e.p = b.p WHERE e.head IN (SELECT p FROM w)) SELECT 'S-1' AS target, p AS point FROM f WHERE p IN (SELECT p FROM b)",
+    "validate_issues": f"""WITH {H}, have AS (SELECT p FROM pts WHERE NOT (p LIKE 'S-%' AND split_part(p, '-', 2)::BIGINT % 3 = 0))
+SELECT 'duplicate_id' AS code, count(*) AS n FROM nation UNION ALL
+SELECT 'unknown_point', count(*) FROM (SELECT head FROM h WHERE head NOT IN (SELECT p FROM have) UNION ALL SELECT p FROM t WHERE p NOT IN (SELECT p FROM have))""",
+    "validate_clean": "SELECT 0::BIGINT AS n",
+    "weight_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE (o_orderkey % 100) * 10 + o_orderkey % 10 END AS weight_units, CASE WHEN o_orderkey % 7 = 0 THEN 'none' WHEN o_orderkey % 10 = 0 THEN (o_orderkey % 100)::VARCHAR ELSE (o_orderkey % 100) || '.' || (o_orderkey % 10) END AS weight FROM orders",
+    "point_rename": f"WITH {H} SELECT id, CASE head WHEN 'S-1' THEN 'S-one' ELSE head END AS head, array_to_string(list_sort(list_transform(tails, lambda x: CASE x WHEN 'S-1' THEN 'S-one' ELSE x END)), ',') AS tails FROM h WHERE head = 'S-1' OR list_contains(tails, 'S-1')",
+    "point_remove_cascade": f"WITH {H} SELECT split_part(id, '-', 1) AS kind, count(*) AS n FROM h WHERE head <> 'S-1' AND NOT list_contains(tails, 'S-1') GROUP BY 1",
+    "apply_batch": f"""WITH {H} SELECT id, CASE id WHEN 'n-1' THEN 100 ELSE w END::BIGINT AS weight_units, CASE id WHEN 'n-0' THEN 'Y' ELSE array_to_string(tails, ',') END AS tails, CASE id WHEN 'n-2' THEN 'Y' ELSE head END AS head
+FROM h WHERE split_part(id, '-', 1) IN ('n', 'cn') AND head <> 'C-1' AND NOT list_contains(tails, 'C-1') UNION ALL SELECT 'xy', 125, 'R-0,R-1', 'Y'""",
+    "json_pointer_get": "SELECT event_id, json_extract(props, '/k')::VARCHAR AS value FROM events",
+    "json_pointer_set": "SELECT event_id, '{\"a/b\":[1.50],\"k\":' || json_extract(props, '/k')::VARCHAR || '}' AS value FROM events",
+    "json_pointer_remove": "SELECT event_id, CASE WHEN json_extract(props, '/k') IS NULL THEN NULL ELSE '{}' END AS value, CASE WHEN json_extract(props, '/k') IS NULL THEN 'pointer_not_found' END AS error FROM events",
 }
