@@ -264,12 +264,11 @@ def test_pipeline(spark):
     import corpus_pipeline as pipeline
     from weft.llm import pii
 
-    r = random.Random(1)
     words = [f"{a}{b}" for a in ("an", "re", "tio", "mo", "ka") for b in ("la", "so", "ni", "du", "te", "pra")]
 
     def prose(n, seed):
         q = random.Random(seed)
-        return "\n".join(" ".join(q.choice(words) + str() for _ in range(12)) for _ in range(n))
+        return "\n".join(" ".join(q.choice(words) for _ in range(12)) for _ in range(n))
 
     passage = prose(6, 1000)
     docs = {i: prose(8, i) for i in range(12)}
@@ -279,7 +278,6 @@ def test_pipeline(spark):
     docs[23] = prose(8, 23) + "\n" + passage
     docs[24] = prose(8, 24) + "\nwrite to jan.doe@mail.example.com now"
     docs[25] = "junk$$$ word%%% " * 20
-    r.shuffle(words)
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()] + [(30, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     pii._TRAINED[()] = pii.train(n_texts=300, steps=60, rows=48)
     try:

@@ -170,7 +170,7 @@ def test_gradients():
 
 @pytest.fixture(scope="module")
 def net():
-    return pii.train(n_texts=500, steps=110, rows=64)
+    return pii.trained()
 
 
 def test_model_on_held_out_texts(net):
