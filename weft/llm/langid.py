@@ -25,8 +25,8 @@ from .common import small_batches, table
 
 SPECTRUM = (1, 2, 3, 4)
 BINS = 1 << 16
-#: Bounds of the fitted sample: rows per language, rows in all, characters of such a row, landmarks, languages.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, LANDMARKS, LANGUAGES = 150, 1200, 4000, 256, 200
+#: Bounds of the fitted sample: rows per language, rows in all, landmarks, languages. Sampled texts are whole.
+SAMPLE, SAMPLE_ALL, LANDMARKS, LANGUAGES = 150, 1200, 256, 200
 RIDGE = 1e-2
 
 
@@ -106,7 +106,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], list[str]]:
-    """A bounded number of labelled rows of each language, by hash order of their ids; long texts lend their start."""
+    """A bounded number of labelled rows of each language, by hash order of their ids."""
     languages = df.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES + 1).collect()
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -114,7 +114,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], li
     total = {r[lang]: r["count"] for r in languages}
     for name, count in sorted(total.items()):
         # a hash threshold thins the language to about four times the need before the sort
-        part = df.where((F.col(lang) == name) & F.col(text).isNotNull()).select(key, F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+        part = df.where((F.col(lang) == name) & F.col(text).isNotNull()).select(key, F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
         if count > 8 * most:
             part = part.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * 4 * most / count))
         found += [(r["t"], name) for r in part.orderBy("h", key, "t").limit(most).collect()]
