@@ -135,10 +135,12 @@ class WordEncoder:
     """The tokenizers library over whole texts, for vocabularies that drop white space.
 
     There, ids of a text are those of its pieces between ASCII white space one after the other, so
-    each piece is encoded by the library once and remembered, at most ``most`` of them.
+    each piece is encoded by the library and remembered. New pieces go to it many at a time,
+    parted by a special token, which it takes as the end of one text and the beginning of the next.
+    At most 2 * ``most`` pieces are remembered: when the younger half is full, the elder one goes.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -147,19 +149,50 @@ class WordEncoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        parting = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.special = tuple(content.encode() for _, content in parting)
+        self.parting = max(parting, default=None)
         self.known: dict[bytes, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
         self.most = most
 
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes], group: int = 256) -> None:
+        if self.parting is None:
+            self.known.update((w, self._one(w)) for w in new)
+            return
+        # a piece that holds a special token itself goes alone
+        alone = [w for w in new if any(s in w for s in self.special)]
+        if alone:
+            self.known.update((w, self._one(w)) for w in alone)
+            new = [w for w in new if w not in self.known]
+        number, content = self.parting
+        groups = [new[i : i + group] for i in range(0, len(new), group)]
+        texts = [content.join([w.decode() for w in g]) for g in groups]
+        for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == number).tolist()
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(g, [*ends, len(ids)]):
+                self.known[word] = raw[4 * at : 4 * end]
+                at = end + 1
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+            self.known, self.elder = {}, self.known
+        known, elder = self.known, self.elder
+        new = []
+        for word in {w for words in split for w in words}.difference(known):
+            ids = elder.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        self._learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
