@@ -1,8 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding by dynamic programming over prefixes.
 
-For every prefix of a pretoken exactly one vocabulary token can end its encoding. The automaton's
-suffix links list all tokens that end at a position; of these the one that is compatible with the
-last token of the prefix before it is stored. Following the stored tokens back from the end emits
+For every prefix of a pretoken exactly one vocabulary token can end its encoding. A suffix automaton
+of the vocabulary lists all tokens that end at a position; of these the one that is compatible with the
+last token of the prefix before it is stored. Short pretokens share what is stored for their prefixes. Following the stored tokens back from the end emits
 the ids, in time linear in the text, however long a pretoken is.
 
 Two neighbouring tokens are compatible if no merge joins a part on the left token's right edge to a
@@ -27,6 +27,8 @@ from .common import small_batches, table
 #: The split of text before the merges (fixed by the vocabulary file's pre-tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 62
+#: Bytes of a pretoken whose prefixes are remembered.
+SHORT = 64
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,8 +48,7 @@ def _byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file. Remembers pretokens, at most ``most`` of them."""
 
-    def __init__(self, path: str, most: int = 250_000):
-        import ahocorasick
+    def __init__(self, path: str, most: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -74,19 +75,23 @@ class Codec:
                         break
                     gone, at = parts[at][2], parts[at][side]
                 self.edges[side][token] = chain_up[::-1]
-        # a token that the merges cannot make of its own bytes never ends a prefix
-        self.automaton = ahocorasick.Automaton()
+        # the automaton reads a text backwards from a position and passes, at "", every token that ends there;
+        # a token that the merges can't make of its own bytes never ends a prefix
+        self.suffixes: dict = {}
         for piece, i in ids.items():
             if len(piece) == 1 or i in parts:
-                self.automaton.add_word(piece.decode("latin-1"), (len(piece), i))
-        self.automaton.make_automaton()
+                node = self.suffixes
+                for c in reversed(piece.decode("latin-1")):
+                    node = node.setdefault(c, {})
+                node[""] = i
         self.pattern = regex.compile(PATTERN)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces.update({i: content.encode() for content, i in added.items()})
         self.added = added
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.compatible: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # of pieces between spaces
+        self.prefixes: dict[str, tuple[int, ...]] = {}  # of short pretokens, a letter for each byte
         self.most = most
 
     def fits(self, left: int, right: int) -> bool:
@@ -94,6 +99,8 @@ class Codec:
         key = left << 20 | right
         found = self.compatible.get(key)
         if found is None:
+            if len(self.compatible) >= 4 * self.most:
+                self.compatible.clear()
             found = self.compatible[key] = self._fits(left, right)
         return found
 
@@ -112,33 +119,74 @@ class Codec:
             else:
                 j += 1
 
-    def pretoken(self, piece: str) -> tuple[int, ...]:
-        """Ids of one pretoken: the last token of every prefix, then the pointers back."""
-        data = piece.encode()
-        last = [-1] * (len(data) + 1)
-        size = [0] * (len(data) + 1)
-        fits, best_end = self.fits, -1
-        for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if end == best_end:
-                continue
-            start = end - length
-            if start == 0 or (last[start] >= 0 and fits(last[start], token)):
-                last[end], size[end], best_end = token, length, end
+    def ending(self, data: str, end: int) -> list[tuple[int, int]]:
+        """(start, token) of every token that ends at a position, shortest first; data has a letter for each byte."""
+        node, found, at = self.suffixes, [], end
+        while at:
+            at -= 1
+            node = node.get(data[at])
+            if node is None:
+                break
+            token = node.get("")
+            if token is not None:
+                found.append((at, token))
+        return found
+
+    def pretoken(self, data: str) -> tuple[int, ...]:
+        """Ids of one pretoken of any length: the last token of every prefix, then the pointers back."""
+        last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        for end in range(1, len(data) + 1):
+            for start, token in reversed(self.ending(data, end)):
+                if start == 0 or self.fits(last[start], token):
+                    last[end], size[end] = token, end - start
+                    break
         ids, at = [], len(data)
         while at:
             ids.append(last[at])
             at -= size[at]
         return tuple(ids[::-1])
 
+    def prefix(self, data: str) -> tuple[int, ...]:
+        """Ids of a short pretoken: the same recurrence, asked from the end; prefixes are remembered for all words."""
+        ids = self.prefixes.get(data)
+        if ids is not None:
+            return ids
+        compatible = self.compatible
+        for start, token in reversed(self.ending(data, len(data))):
+            if not start:
+                ids = (token,)
+                break
+            before = self.prefix(data[:start])
+            fits = compatible.get(before[-1] << 20 | token)
+            if fits is None:
+                fits = self.fits(before[-1], token)
+            if fits:
+                ids = before + (token,)
+                break
+        if len(self.prefixes) >= self.most:
+            self.prefixes.clear()
+        self.prefixes[data] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.pretoken, self.pattern.findall(chunk))))
+        # letters after at most one space are one pretoken, and so is a stop or comma behind them
+        word = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            ids = self._remembered(word)
+            if word is not chunk:
+                ids += self._remembered(chunk[-1])
+        else:
+            ids = tuple(chain.from_iterable(map(self._remembered, self.pattern.findall(chunk))))
         if len(chunk) <= 64:
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[chunk] = ids
         return ids
 
+    def _remembered(self, piece: str) -> tuple[int, ...]:
+        data = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return self.prefix(data) if len(data) <= SHORT else self.pretoken(data)
+
     def _ordinary(self, text: str, ids: list[int]) -> None:
         # Where single spaces part non-empty pieces, each " piece" splits alone as it does in the text.
         known = self.known
