@@ -105,6 +105,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round lowers every label to the least of its neighbours' and then follows one pointer
     (label of the label); rounds end when no label changes. Nodes without links have no row, nulls
     and self links are ignored. Labels stay distributed; every round is cut by a checkpoint.
+    Joins are merge joins at every size, so nothing passes through the driver.
     """
     spark = links.sparkSession
     shared_dir(spark)
@@ -112,10 +113,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old").checkpoint()
+        after = lower.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old").checkpoint()
         changed = after.where("label <> old").limit(1).count()
         labels = after.select("node", "label")
         if not changed:

@@ -302,11 +302,12 @@ def _with_last(batches):
         yield True, held
 
 
-def _verified(pairs: DataFrame, df: DataFrame, rows: DataFrame, key: str, text: str, words: int, num: int, den: int, seed: int) -> DataFrame:
+def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, key: str, text: str, words: int, num: int, den: int, seed: int) -> DataFrame:
     """pairs with ``linked``: the exact test on whole sets."""
     names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     # one text of each class is enough
-    chosen = written(rows.join(names, "name").groupBy("name").agg(F.min(F.struct(key, "h")).alias("x")).select(F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(2**63))).alias("_k"), F.col("x.h").alias("h")), "join-texts")
+    chosen = classes.join(names.hint("merge"), "name").select(F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(2**63))).alias("_k"), F.col("x.h").alias("h"))
+    chosen = written(chosen, "join-texts")
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     keyed = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64(text).alias("h"), text)
@@ -314,7 +315,7 @@ def _verified(pairs: DataFrame, df: DataFrame, rows: DataFrame, key: str, text:
     sets = written(_sets(texts, text, words, seed).dropDuplicates(["name"]), "join-sets")
     right = sets.select(F.col("name").alias("b"), F.col("tokens").alias("right"))
     left = sets.select(F.col("name").alias("a"), F.col("tokens").alias("left"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("i"), (F.size("left") + F.size("right")).cast("long").alias("s"))
     return written(shared.select("a", "b", (den * F.col("i") >= num * (F.col("s") - F.col("i"))).alias("linked")), "join-pairs")
 
@@ -330,7 +331,7 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
         raise ValueError("the similarity lies in (0, 1]")
     for seed in range(100):
         rows = written(_features(df, key, text, words, seed), "join-rows")
-        classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("o1"), F.max("other").alias("o2"))
+        classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.min(F.struct(key, "h")).alias("x"))
         classes = written(classes, "join-classes")
         if not classes.where("o1 <> o2").limit(1).count():
             break
@@ -342,26 +343,26 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     # copies wrote equal rows: one for each class stays, and buckets of one class go
     met = written(met.distinct(), "join-index")
     counts = met.groupBy("signature").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("m1"), F.max("name").alias("m2")).where("m1 <> m2").select("signature", "c")
-    members = written(met.join(counts, "signature"), "join-members")
+    members = written(met.join(counts.hint("merge"), "signature"), "join-members")
     weight, slack, band = F.col("info").bitwiseAND(3), F.shiftright("info", 2).bitwiseAND(0x3FFFF), F.shiftright("info", 20)
     crowd = members.where(F.col("c") > CROWDED).groupBy("name", band.alias("band")).agg(F.sum(weight).alias("load"))
-    members = members.withColumn("band", band).join(crowd, ["name", "band"], "left")
+    members = members.withColumn("band", band).join(crowd.hint("merge"), ["name", "band"], "left")
     stays = (F.col("c") <= CROWDED) | (F.col("load") > slack) | (weight == 3)
     members = members.where(stays).select("signature", "name").distinct()
-    members = written(members.join(classes.select("name", "n", "sketch"), "name").withColumn("label", F.col("name")), "join-buckets")
+    members = written(members.join(classes.select("name", "n", "sketch").hint("merge"), "name").withColumn("label", F.col("name")), "join-buckets")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return _verified(written(pairs, "join-candidates"), df, rows, key, text, words, num, den, seed)
+        return _verified(written(pairs, "join-candidates"), df, classes, key, text, words, num, den, seed)
 
     if links == "all":
         return rows, tested(_bucket_pairs(members, num, den, True)).where("linked").select("a", "b")
     first = tested(_bucket_pairs(members, num, den, False))
     found = first.where("linked").select("a", "b")
     labels = components(found)
-    marked = members.drop("label").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+    marked = members.drop("label").join(labels.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     marked = written(marked, "join-marked")
     mixed = marked.groupBy("signature").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("signature")
-    left = _bucket_pairs(marked.join(mixed, "signature"), num, den, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    left = _bucket_pairs(marked.join(mixed.hint("merge"), "signature"), num, den, True).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     second = tested(left)
     return rows, found.unionByName(second.where("linked").select("a", "b"))
 
@@ -371,10 +372,10 @@ def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: st
     rows, pairs = join(df, words, num, den, key, text)
     labels = components(pairs).withColumnRenamed("node", "name")
     classes = rows.where("n > 0").groupBy("name").agg(F.min(key).alias("least"))
-    labelled = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(labelled.join(least, "label").select("name", "component_id"), "join-named")
-    return rows.join(named, "name", "left").select(key, "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    labelled = classes.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+    least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "join-least")
+    named = written(labelled.join(least.hint("merge"), "label").select("name", "component_id"), "join-named")
+    return rows.join(named.hint("merge"), "name", "left").select(key, "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
 
 
 def without_near_copies(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,7 +390,7 @@ def without_near_copies(df: DataFrame, words: int = 5, num: int = 80, den: int =
     absent = F.lit(-(2**63))
     keep = keep.select(F.coalesce(F.col(key).cast("long"), absent).alias("_k"), "h").distinct()
     keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), absent)).withColumn("_h", F.xxhash64(text))
-    return keyed.join(keep.withColumnRenamed("h", "_h"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*df.columns)
+    return keyed.join(keep.withColumnRenamed("h", "_h").hint("merge"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*df.columns)
 
 
 def op7_jaccard(spark, sf_dir):
