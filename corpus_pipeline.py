@@ -25,7 +25,7 @@ def quality_rules(spark, docs, sf_dir):
 
 def line_dedup(spark, docs, sf_dir):
     """Later copies of line runs of 50 words or more are deleted; a document with no word left through that goes."""
-    done = linededup.dedup(docs)
+    done = linededup.dedup(docs, maximal=True)
     return _recounted(done.where((F.col("n_deleted") == 0) | (F.col("text") != "")), docs.columns)
 
 

@@ -47,6 +47,36 @@ def test_line_dedup(spark):
     assert linededup.dedup(df.where("doc_id = 60")).first()["text"] is None
 
 
+def brute_maximal(docs, least):
+    """The lines of every run of at least ``least`` words, of any length, that occurs earlier."""
+    seen, out = set(), []
+    for _, text in docs:
+        lines, gone = (text or "").split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(lines[a : b + 1])
+                if text and sum(len(x.split()) for x in run) >= least:
+                    gone |= set(range(a, b + 1)) if run in seen else set()
+                    seen.add(run)
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        out.append(text if not gone else "\n".join(left) if any(x.split() for x in left) else "")
+    return out
+
+
+def test_line_dedup_deletes_maximal_runs(spark):
+    r = random.Random(3)
+    pool = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 4))) for _ in range(12)]
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 25)))) for i in range(60)]
+    docs += [(60, None), (61, ""), (62, docs[0][1]), (63, "x y z\n" * 30), (64, "\n".join(["p q r s t u"] * 9))]
+    long = " ".join(f"w{i}" for i in range(60))
+    docs += [(70, f"{long}\nthese eight words follow the long line here\n\nend"), (71, f"own\n{long}\nthese eight words follow the long line here\n\nother")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for least in (4, 9, 50):
+        got = linededup.dedup(df, min_words=least, maximal=True).orderBy("doc_id").collect()
+        assert [g["text"] for g in got] == brute_maximal(docs, least)
+    assert got[-1]["text"] == "own\nother"
+
+
 # --- the join ------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,13 @@ in order, so equal ranks at k are equal runs of 2**k lines. A suffix leaves the
 rank is unique, which at the first round drops all lines that occur once; doubling ends when
 no suffix is left or no run needs a longer prefix.
 
-From a line, the shortest run of at least ``min_words`` words is compared by the longest-common-prefix
-interval at exactly its length: its two ranks of 2**k lines that together span it. Within an interval
-the first run in order of (doc_id, line) stays; the lines of all others are deleted. Their union is
-the maximal repeated runs. Runs that lie in one line, or overlap their own copy, count too.
+A run is compared by the longest-common-prefix interval at exactly its length: its two ranks of 2**k
+lines that together span it. Within an interval the first run in order of (doc_id, line) stays; the
+lines of all others are deleted. Compared are, from each line, the shortest run of at least
+``min_words`` words and, with ``maximal``, the shortest such run that ends at each line. A line of a
+maximal repeated run lies in the run's first shortest one or ends a shortest one inside it, so the union
+is the maximal repeated runs; without ``maximal`` the last lines of one can stay. A document has at most
+twice as many such runs as lines. Runs that lie in one line, or overlap their own copy, count too.
 
 A null text stays null and an empty one empty. A document of which every line with a word is deleted gets an
 empty text. Rows equal in id and text are one document and get one result. Other columns pass through.
@@ -34,15 +37,18 @@ def with_key(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.withColumn("d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("h", F.xxhash64(F.col(text)))
 
 
-def line_rows(keyed: DataFrame, text: str, min_words: int) -> DataFrame:
-    """Rows (d, h, line, a, b, need): 128-bit line hash, lines of the shortest run with min_words words (null: none)."""
+def line_rows(keyed: DataFrame, text: str, min_words: int, maximal: bool = False) -> DataFrame:
+    """Rows (d, h, line, a, b, need, most): 128-bit line hash, lines of the shortest run with min_words words (null: none).
+
+    Runs of need to most lines are compared: most is need, or with maximal the longest that no later line could begin.
+    """
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             ds, hs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = {n: [] for n in ("d", "h", "line", "a", "b", "need")}
+            out = {n: [] for n in ("d", "h", "line", "a", "b", "need", "most")}
             for d, h, t in zip(ds, hs, batch.column(2).to_pylist()):
                 if not t:
                     continue
@@ -51,6 +57,9 @@ def line_rows(keyed: DataFrame, text: str, min_words: int) -> DataFrame:
                 starts = np.concatenate(([0], ends[:-1]))
                 last = np.searchsorted(ends, starts + min_words)
                 need = np.where(last < len(lines), last - np.arange(len(lines)) + 1, 0)
+                # a run from here is the shortest one that ends at its last line, up to where the next line's shortest one ends
+                until = np.maximum(last + 1, np.append(last[1:], len(lines))) if maximal else last + 1
+                most = np.where(need > 0, until - np.arange(len(lines)), 0)
                 hashes = [xxhash.xxh3_128_intdigest(x) for x in lines]
                 out["d"] += [d] * len(lines)
                 out["h"] += [h] * len(lines)
@@ -58,10 +67,11 @@ def line_rows(keyed: DataFrame, text: str, min_words: int) -> DataFrame:
                 out["a"] += [(x >> 64) - (1 << 63) for x in hashes]
                 out["b"] += [(x & (1 << 64) - 1) - (1 << 63) for x in hashes]
                 out["need"] += [int(x) or None for x in need]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n in ("line", "need") else pa.int64()) for n, v in out.items()], list(out))
+                out["most"] += [int(x) or None for x in most]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n in ("line", "need", "most") else pa.int64()) for n, v in out.items()], list(out))
 
     small_batches(keyed.sparkSession)
-    schema = "d long, h long, line int, a long, b long, need int"
+    schema = "d long, h long, line int, a long, b long, need int, most int"
     return keyed.select("d", "h", text).mapInArrow(run, schema)
 
 
@@ -73,14 +83,14 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For each k, rows (d, h, line, need, rank) of the suffixes whose first 2**k lines occur elsewhere too."""
-    levels = [written(lines.join(_named(lines, ["a", "b"]), ["a", "b"]).select(*AT, "need", "rank"), "suffixes")]
-    longest = levels[0].agg(F.max("need")).first()[0] or 0
+    """For each k, rows (d, h, line, need, most, rank) of the suffixes whose first 2**k lines occur elsewhere too."""
+    levels = [written(lines.join(_named(lines, ["a", "b"]), ["a", "b"]).select(*AT, "need", "most", "rank"), "suffixes")]
+    longest = levels[0].agg(F.max("most")).first()[0] or 0
     while 2 ** len(levels) <= longest:
         step, now = 2 ** (len(levels) - 1), levels[-1]
         ahead = now.select("d", "h", (F.col("line") - step).alias("line"), F.col("rank").alias("rank2"))
         pairs = now.join(ahead, AT)
-        after = written(pairs.join(_pair_names(pairs), ["rank", "rank2"]).select(*AT, "need", F.col("next").alias("rank")), "suffixes")
+        after = written(pairs.join(_pair_names(pairs), ["rank", "rank2"]).select(*AT, "need", "most", F.col("next").alias("rank")), "suffixes")
         if not after.limit(1).count():
             break
         levels.append(after)
@@ -96,7 +106,9 @@ def later_runs(levels: list[DataFrame]) -> DataFrame | None:
     """Rows (d, h, line, need): runs of ``need`` lines that occur earlier, in order of (d, h, line)."""
     found = None
     for k, level in enumerate(levels):
-        own = level.where((F.col("need") >= 2**k) & (F.col("need") < 2 ** (k + 1)))
+        own = level.where((F.col("most") >= 2**k) & (F.col("need") < 2 ** (k + 1)))
+        lengths = F.sequence(F.greatest("need", F.lit(2**k)), F.least("most", F.lit(2 ** (k + 1) - 1)))
+        own = own.withColumn("need", F.explode(lengths))
         far = level.select("d", "h", F.col("line").alias("end"), F.col("rank").alias("rank2"))
         runs = own.withColumn("end", F.col("line") + F.col("need") - 2**k)
         runs = runs.withColumn("rank2", F.col("rank")) if k == 0 else runs.join(far, ["d", "h", "end"])
@@ -107,13 +119,16 @@ def later_runs(levels: list[DataFrame]) -> DataFrame | None:
     return found
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """df with the lines of later copies deleted from ``text``; n_lines and n_deleted (int) are added, or replaced."""
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+    """df with the lines of later copies deleted from ``text``; n_lines and n_deleted (int) are added, or replaced.
+
+    The registered query and the pipeline delete ``maximal`` runs.
+    """
     df = df.drop("n_lines", "n_deleted")
     others = [c for c in df.columns if c not in (key, text)]
     packed = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_0"), *others).alias("_row"))
     keyed = with_key(packed, "_key", "_text")
-    lines = written(line_rows(keyed, "_text", min_words), "lines")
+    lines = written(line_rows(keyed, "_text", min_words, maximal), "lines")
     runs = later_runs(suffix_ranks(lines))
     # a document's runs are bounded by its own lines
     marks = written(runs.groupBy("d", "h").agg(F.collect_set(F.struct("line", "need")).alias("_runs")), "line-marks")
@@ -147,7 +162,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
 
 
 def op6_linededup(spark, sf_dir):
-    done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), maximal=True)
     return done.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
