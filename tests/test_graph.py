@@ -1,5 +1,6 @@
 """Reachability, bounds, routes, subgraphs and diagnosis on small graphs with known answers."""
 
+import itertools
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from weft.operators import diagnose as D
 from weft.operators import reach as R
 from weft.operators import route as Q
 from weft.operators import subgraph as S
+from weft.plans import queries as engine
 
 F1 = ["ab: a->b (3)", "bd: b->d (1)", "be: b->e (1)", "dez: d,e->z (1)"]
 CYCLES = ["t: Taylor->eix (1)", "es: eix->sincos (1)", "se: sincos->eix (1)", "g: geotrig->sincos (1)", "ls: lin->sup (1)", "sl: sup->lin (1)"]
@@ -147,3 +149,42 @@ def test_measures(spark):
 
     with pytest.raises(GraphError):
         B.bounds(g, starts(spark), Bad())
+
+
+def star_tables(spark, at):
+    """Small star tables in which orders of up to five parts share suppliers, nations and regions."""
+    r = random.Random(11)
+    made = {
+        "region": ("r_regionkey long", [(i,) for i in range(2)]),
+        "nation": ("n_nationkey long, n_regionkey long", [(i, i % 2) for i in range(4)]),
+        "supplier": ("s_suppkey long, s_nationkey long", [(i, i % 4) for i in range(6)]),
+        "part": ("p_partkey long", [(i,) for i in range(12)]),
+        "orders": ("o_orderkey long, o_custkey long", [(i, i % 3) for i in range(25)]),
+        "customer": ("c_custkey long, c_nationkey long", [(i, i) for i in range(3)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long", [(o, p, r.randrange(6)) for o in range(24) for p in r.sample(range(12), r.randint(1, 5))]),
+    }
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
+    return {name: rows for name, (_, rows) in made.items()}
+
+
+def brute_order(tables, order):
+    """The least cost of an order over all choices of one supplier a part."""
+    nation, region = dict(tables["supplier"]), dict(tables["nation"])
+    parts = sorted({p for o, p, _ in tables["lineitem"] if o == order})
+    ways = [sorted({s for _, q, s in tables["lineitem"] if q == p}) for p in parts]
+    best = None
+    for taken in itertools.product(*ways):
+        nations = {nation[s] for s in taken}
+        cost = len(parts) + sum(1 + (7 * p + 3 * s) % 13 for p, s in zip(parts, taken)) + sum(5 + s % 11 for s in set(taken))
+        cost += sum(10 + n % 5 for n in nations) + 10 * len({region[n] for n in nations})
+        best = cost if best is None else min(best, cost)
+    return best if parts else None
+
+
+def test_all_orders_are_routed(spark, tmp_path):
+    tables = star_tables(spark, tmp_path)
+    got = {g["query_id"]: g for g in engine.route_all_orders(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"O-{i}" for i in range(25)} and all(g["proven_optimal"] for g in got.values())
+    assert [got[f"O-{i}"]["cost"] for i in range(25)] == [brute_order(tables, i) for i in range(25)]
+    assert all(g["lower"] == g["cost"] for g in got.values())

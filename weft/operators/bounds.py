@@ -129,12 +129,18 @@ def choices(graph: Graph, starts: DataFrame, costs: DataFrame, measure: CostMeas
     return cut(chosen)
 
 
-def witness(graph: Graph, chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """(query_id, edge): the distinct edges that the choices use to derive the targets (query_id, point)."""
+def witness(graph: Graph, chosen: DataFrame, targets: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(query_id, edge): the distinct edges that the choices use to derive the targets (query_id, point).
+
+    members: (query_id, like), where the choices of a query are those of the query ``like``.
+    """
+    if members is not None:
+        chosen = chosen.withColumnRenamed("query_id", "like")
     need = cut(targets.select("query_id", "point").distinct())
     seen, found = need, None
     while not is_empty(need):
-        used = cut(need.join(chosen, ["query_id", "point"]).select("query_id", "edge"))
+        used = need.join(chosen, ["query_id", "point"]) if members is None else need.join(members, "query_id").join(chosen, ["like", "point"])
+        used = cut(used.select("query_id", "edge"))
         found = used if found is None else found.unionByName(used)
         need = cut(used.distinct().join(graph.incidence(), "edge").select("query_id", "point").distinct().join(seen, ["query_id", "point"], "left_anti"))
         seen = seen.unionByName(need)

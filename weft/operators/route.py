@@ -37,28 +37,42 @@ def _searched(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return edges.join(asked, "query_id").groupBy("query_id").applyInPandas(typed, SOLUTION)
 
 
-def relevant(graph: Graph, starts: DataFrame, targets: DataFrame, depth: DataFrame, limit: DataFrame) -> DataFrame:
+def alike(starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, like): of the queries with one set of starts, like is the first; bounds and closure hold for all of them."""
+    sets = starts.groupBy("query_id").agg(F.array_sort(F.collect_set("point")).alias("set"))
+    asked = targets.select("query_id").distinct().join(sets, "query_id", "left").withColumn("set", F.to_json("set"))
+    first = asked.groupBy("set").agg(F.min("query_id").alias("like"))
+    return asked.join(first, asked["set"].eqNullSafe(first["set"])).select("query_id", "like")
+
+
+def relevant(graph: Graph, starts: DataFrame, targets: DataFrame, depth: DataFrame, limit: DataFrame, members: DataFrame) -> DataFrame:
     """(query_id, edge, pos, weight, tails, head): edges that a cheapest set can hold.
 
     Dropped are edges into starts, edges with an unreached tail, edges whose depth bound already
-    passes limit (query_id, upper), and edges that no target can need.
+    passes limit (query_id, upper), and edges that no target can need. starts and depth are those of
+    the queries ``like`` in members (query_id, like); the walk back from the targets is each query's own.
     """
     table = graph.hyperedges.select(F.col("id").alias("edge"), "pos", F.col("weight_units").alias("weight"), F.array_distinct("tails").alias("tails"), "head")
-    within = depth.join(limit, "query_id")
-    tails = graph.incidence().join(within, "point").groupBy("query_id", "edge").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("d"), F.first("upper").alias("upper"))
-    fed = tails.join(table, "edge").where((F.col("n") == F.size("tails")) & (F.col("d") + F.col("weight") <= F.col("upper")))
-    free = limit.withColumn("_one", F.lit(1)).join(table.where(F.size("tails") == 0).withColumn("_one", F.lit(1)), "_one").where(F.col("weight") <= F.col("upper"))
-    columns = ["query_id", "edge", "pos", "weight", "tails", "head"]
-    usable = fed.select(*columns).unionByName(free.select(*columns))
-    usable = cut(usable.join(starts.select("query_id", F.col("point").alias("head")).distinct(), ["query_id", "head"], "left_anti").select(*columns))
+    tails = graph.incidence().join(depth, "point").groupBy("query_id", "edge").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("d"))
+    fed = tails.join(table, "edge").where(F.col("n") == F.size("tails")).withColumn("least", F.col("d") + F.col("weight"))
+    likes = members.select(F.col("like").alias("query_id")).distinct()
+    free = likes.withColumn("_one", F.lit(1)).join(table.where(F.size("tails") == 0).withColumn("_one", F.lit(1)), "_one").withColumn("least", F.col("weight").cast(COST))
+    columns = ["edge", "pos", "weight", "tails", "head"]
+    usable = fed.select("query_id", *columns, "least").unionByName(free.select("query_id", *columns, "least"))
+    usable = usable.join(starts.select("query_id", F.col("point").alias("head")).distinct(), ["query_id", "head"], "left_anti")
+    usable = cut(usable.select(F.col("query_id").alias("like"), *columns, "least"))
+    bound = cut(limit.join(members, "query_id").select("query_id", "like", "upper"))
     need = cut(targets.join(limit, "query_id", "left_semi").select("query_id", "point").distinct())
     seen, kept = need, None
     while not is_empty(need):
-        used = cut(usable.join(need.withColumnRenamed("point", "head"), ["query_id", "head"]).select(*columns))
+        used = need.withColumnRenamed("point", "head").join(bound, "query_id").join(usable, ["like", "head"]).where("least <= upper")
+        used = cut(used.select("query_id", *columns))
         kept = used if kept is None else kept.unionByName(used)
         need = cut(used.select("query_id", F.explode("tails").alias("point")).distinct().join(seen, ["query_id", "point"], "left_anti"))
         seen = seen.unionByName(need)
-    return usable.limit(0) if kept is None else cut(kept.dropDuplicates(["query_id", "edge"]))
+    if kept is None:
+        return targets.select("query_id").join(usable.select(*columns), F.lit(False))
+    return cut(kept.dropDuplicates(["query_id", "edge"]))
 
 
 def solve(graph: Graph, starts: DataFrame, targets: DataFrame, max_nodes: int = MAX_NODES, max_millis: int = MAX_MILLIS, lower: CostMeasure | None = None, upper: CostMeasure | None = None) -> DataFrame:
@@ -68,22 +82,30 @@ def solve(graph: Graph, starts: DataFrame, targets: DataFrame, max_nodes: int =
     the depth bound meets the cost of the tree witness, whose edges are paid once each. Other
     queries are searched exactly, within max_nodes states and max_millis milliseconds; when those run out,
     lower and upper enclose the true cost and proven_optimal is false. A target set without points can't be a row here:
-    its cost is 0.
+    its cost is 0. Queries with equal starts share one computation of the bounds.
     """
     lower, upper = lower or DepthCost(), upper or TreeCost()
     if not (lower.superior and upper.superior) or lower.role != "lower" or upper.role != "upper":
         raise GraphError("invalid_arguments", "a lower and an upper bound measure are needed")
     starts, targets = cut(starts.select("query_id", "point").distinct()), cut(targets.select("query_id", "point").distinct())
-    depth, tree = bounds(graph, starts, lower, queries=targets), bounds(graph, starts, upper, queries=targets)
-    low = targets.join(depth, ["query_id", "point"], "left").groupBy("query_id").agg(F.max(F.coalesce("cost", infinite())).alias("lower"))
-    high = targets.join(tree, ["query_id", "point"], "left").groupBy("query_id").agg(F.max(F.coalesce("cost", infinite())).alias("tree"))
-    reached = targets.join(closure(graph, starts, queries=targets), ["query_id", "point"], "left").groupBy("query_id").agg(F.bool_and(F.col("round").isNotNull()).alias("reached"))
+    members = cut(alike(starts, targets))
+    likes = members.select(F.col("like").alias("query_id")).distinct()
+    given = cut(starts.join(likes, "query_id", "left_semi").select("query_id", "point"))
+    depth, tree = bounds(graph, given, lower, queries=likes), bounds(graph, given, upper, queries=likes)
+
+    def own(df: DataFrame) -> DataFrame:
+        return wanted.join(df.withColumnRenamed("query_id", "like"), ["like", "point"], "left")
+
+    wanted = cut(targets.join(members, "query_id"))
+    low = own(depth).groupBy("query_id").agg(F.max(F.coalesce("cost", infinite())).alias("lower"))
+    high = own(tree).groupBy("query_id").agg(F.max(F.coalesce("cost", infinite())).alias("tree"))
+    reached = own(closure(graph, given, queries=likes)).groupBy("query_id").agg(F.bool_and(F.col("round").isNotNull()).alias("reached"))
     state = cut(low.join(high, "query_id").join(reached, "query_id"))
     over = state.where(F.col("reached") & ((F.col("lower") == infinite()) | (F.col("tree") == infinite()))).limit(1).collect()
     if over:
         raise GraphError("invalid_weight", "a reachable cost overflows", query=over[0]["query_id"])
     open_ = state.where("reached")
-    held = witness(graph, choices(graph, starts, tree, upper), targets.join(open_, "query_id", "left_semi"))
+    held = witness(graph, choices(graph, given, tree, upper), targets.join(open_, "query_id", "left_semi"), members)
     paid = held.join(graph.edges(), "edge").groupBy("query_id").agg(F.sum(F.col("weight").cast(COST)).cast(COST).alias("upper"), F.array_sort(F.collect_list("edge")).alias("edges"))
     known = cut(open_.join(paid, "query_id", "left").select("query_id", "lower", F.coalesce("upper", F.lit(0).cast(COST)).alias("upper"), F.coalesce("edges", F.array().cast("array<string>")).alias("edges")))
     none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
@@ -93,7 +115,7 @@ def solve(graph: Graph, starts: DataFrame, targets: DataFrame, max_nodes: int =
     done = lost.unionByName(pinned)
     if is_empty(left):
         return done
-    edges = relevant(graph, starts, targets, depth, left.select("query_id", "upper"))
+    edges = relevant(graph, given, targets, depth, left.select("query_id", "upper"), members)
     # the witness stays in, whatever was cut, as it is the first incumbent
     marks = held.withColumn("held", F.lit(True))
     full = graph.hyperedges.select(F.col("id").alias("edge"), "pos", F.col("weight_units").alias("weight"), F.array_distinct("tails").alias("tails"), "head")
