@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from tests import oracle
 from tests.helpers import graph_of, starts
 from weft.model import INFINITY, GraphError, infinite
@@ -188,3 +189,15 @@ def test_all_orders_are_routed(spark, tmp_path):
     assert set(got) == {f"O-{i}" for i in range(25)} and all(g["proven_optimal"] for g in got.values())
     assert [got[f"O-{i}"]["cost"] for i in range(25)] == [brute_order(tables, i) for i in range(25)]
     assert all(g["lower"] == g["cost"] for g in got.values())
+
+
+@pytest.mark.parametrize("name", ["executable_order_all", "induced_all_kinds"])
+def test_every_kind_of_edge(spark, name):
+    """On the whole graph: all seven kinds of edges, orders with several parts among them, as the SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    base = duckdb.connect()
+    for table in ("region", "nation", "supplier", "part", "orders", "customer", "lineitem"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMOKE_DIR}/{table}.parquet'")
+    got = sorted(tuple(x) for x in engine.QUERIES[name](spark, SMOKE_DIR).collect())
+    assert got == sorted(base.execute(engine.ORACLE_SQL[name]).fetchall())
+    assert {x[0].split("-")[0] for x in got} == {"r", "n", "s", "ps", "o", "c", "cn"}

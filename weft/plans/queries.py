@@ -149,6 +149,13 @@ def executable_order_rounds(spark, sf_dir):
     return R.executable_order(graph, _no_starts(spark), edges)[0].select("edge", F.col("round").cast("long").alias("round"))
 
 
+def executable_order_all(spark, sf_dir):
+    """The firing round of every edge of the whole graph that fires: an order's follows all of its parts'."""
+    graph = star_graph(spark, sf_dir)
+    edges = graph.hyperedges.select(F.lit("q").alias("query_id"), F.col("id").alias("edge"))
+    return R.executable_order(graph, _no_starts(spark), edges)[0].select("edge", F.col("round").cast("long").alias("round"))
+
+
 # --- subgraphs -----------------------------------------------------------------------------------
 
 
@@ -159,6 +166,19 @@ def induced_subgraph(spark, sf_dir):
     return S.induced(graph, points).hyperedges.select("id", "weight_units", "head")
 
 
+def induced_all_kinds(spark, sf_dir):
+    """Edges among all regions and nations, suppliers not in debt, parts over size 5, orders not pending and customers that are no households."""
+    graph = star_graph(spark, sf_dir)
+
+    def named(table, prefix, key, where):
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").where(where).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("point"))
+
+    points = graph.points.where(_kind(F.col("id")).isin("R", "N")).select(F.col("id").alias("point"))
+    for args in (("supplier", "S-", "s_suppkey", "s_acctbal >= 0"), ("part", "P-", "p_partkey", "p_size > 5"), ("orders", "O-", "o_orderkey", "o_orderstatus <> 'P'"), ("customer", "C-", "c_custkey", "c_mktsegment <> 'HOUSEHOLD'")):
+        points = points.unionByName(named(*args))
+    return S.induced(graph, points).hyperedges.select("id", "weight_units", "head")
+
+
 def reachable_subgraph(spark, sf_dir):
     graph = star_graph(spark, sf_dir)
     graph = graph.with_frames(hyperedges=graph.hyperedges.where((F.size("tails") > 0) & (_kind(F.col("id")) != "cn")))
@@ -302,7 +322,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edges_by_kind, graph_size, incoming_degree, outgoing_degree, incoming_edges, outgoing_edges, closure_from_suppliers, closure_rounds, closure_restricted, dangling_points, natural_entries,
-        executable_order_rounds, induced_subgraph, reachable_subgraph, depth_bounds, tree_bounds, prepaid_bounds, bracket_gap, route_orders, route_all_orders, blocking_frontier, blocking_cycles,
+        executable_order_rounds, executable_order_all, induced_subgraph, induced_all_kinds, reachable_subgraph, depth_bounds, tree_bounds, prepaid_bounds, bracket_gap, route_orders, route_all_orders, blocking_frontier, blocking_cycles,
         validate_issues, validate_clean, weight_parse, point_rename, point_remove_cascade, apply_batch, json_pointer_get, json_pointer_set, json_pointer_remove,
     )
 }
@@ -334,6 +354,11 @@ SELECT p AS point FROM pts WHERE p NOT IN (SELECT p FROM c)""",
     "natural_entries": f"WITH {H} SELECT p AS point FROM pts WHERE p NOT IN (SELECT head FROM h)",
     "executable_order_rounds": f"WITH {H} SELECT id AS edge, (CASE split_part(id, '-', 1) WHEN 'r' THEN 1 WHEN 'n' THEN 2 ELSE 3 END)::BIGINT AS round FROM h WHERE split_part(id, '-', 1) IN ('r', 'n', 's')",
     "induced_subgraph": f"WITH {H}, x AS (SELECT p FROM pts WHERE split_part(p, '-', 2)::BIGINT % 2 = 0 AND split_part(p, '-', 1) IN ('R', 'N', 'S', 'P')) SELECT id, w::BIGINT AS weight_units, head FROM h WHERE head IN (SELECT p FROM x) AND NOT EXISTS (SELECT 1 FROM t WHERE t.id = h.id AND t.p NOT IN (SELECT p FROM x))",
+    "executable_order_all": _closure_sql(FREE, "SELECT id AS edge, 1::BIGINT AS round FROM h WHERE len(tails) = 0 UNION ALL SELECT tt.id, (max(k.r) + 1)::BIGINT FROM tt JOIN c k ON k.p = tt.p GROUP BY tt.id, tt.n HAVING count(*) = tt.n"),
+    "induced_all_kinds": f"""WITH {H}, x AS (
+  SELECT p FROM pts WHERE split_part(p, '-', 1) IN ('R', 'N') UNION ALL SELECT 'S-' || s_suppkey FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'P-' || p_partkey FROM part WHERE p_size > 5
+  UNION ALL SELECT 'O-' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'C-' || c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
+SELECT id, w::BIGINT AS weight_units, head FROM h WHERE head IN (SELECT p FROM x) AND NOT EXISTS (SELECT 1 FROM t WHERE t.id = h.id AND t.p NOT IN (SELECT p FROM x))""",
     "reachable_subgraph": _closure_sql("SELECT 'S-' || i AS p, 0 AS r FROM range(4) x(i)", "SELECT id, w::BIGINT AS weight_units, head FROM tt JOIN c k ON k.p = tt.p WHERE head IN (SELECT p FROM c) GROUP BY id, w, head, n HAVING count(*) = n", "WHERE split_part(id, '-', 1) <> 'cn'"),
     "depth_bounds": _bounds_sql("SELECT p AS point, d AS depth FROM depth", names=("depth",)),
     "tree_bounds": _bounds_sql("SELECT p AS point, d AS tree FROM tree", names=("tree",)),
