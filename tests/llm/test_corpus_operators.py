@@ -287,6 +287,12 @@ def test_page_columns(spark, chain):
     assert (got[0]["text"], got[0]["n_chars"], got[1]["text"], got[1]["n_chars"]) == ("One, two and three four.", 24, "", 0)
 
 
+def test_a_telling_word_counts_at_any_place():
+    utility = " ".join(f"u{chr(97 + i)}" for i in range(20))
+    path = htmltext.blocks_of(f'<div class="{utility} sidebar">x</div>')[0].path
+    assert "means:side" in htmltext.path_features(path)
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 

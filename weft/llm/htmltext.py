@@ -115,7 +115,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if len(stack) < MAX_DEPTH:
             attributes = m[3] or m[6] or ""
             words = tuple(dict.fromkeys(w for v in VALUES.findall(attributes) for w in WORDS.findall(v.lower()))) if "=" in attributes else ()
-            stack.append((tag, words[:12]))
+            stack.append((tag, words))
     flush()
     return found
 
