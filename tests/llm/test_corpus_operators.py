@@ -293,6 +293,16 @@ def test_a_telling_word_counts_at_any_place():
     assert "means:side" in htmltext.path_features(path)
 
 
+def test_depth_has_no_limit():
+    """Past any depth the innermost tags still count, and closing tags end their own."""
+    deep = "<div>" * 300 + "<nav>menu</nav>" + "</div>" * 44 + "<article><p>text</p></article>" + "</div>" * 256 + "<p>after</p>"
+    menu, text, after = [htmltext.path_features(b.path) for b in htmltext.blocks_of(f"<main>{deep}</main>")]
+    assert "region:nav" in menu and "leaf:nav" in menu and "in:nav" not in text
+    assert "region:article" in text and "leaf:p" in text and "in:article" not in after and "region:main" in after and "in:div" not in after
+    for hostile in ("<foo>" * 60_000 + "</bar>" * 60_000, "<li><ul>" + "<foo>" * 60_000 + "<option></option>" * 60_000):
+        assert htmltext.blocks_of(hostile + "x")[0].text == "x"
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Operator 10: main text of web pages by a linear-chain conditional random field over leaf blocks.
 
-A page is scanned once into leaf blocks: runs of text with no block-level tag inside, each with the
-tags and class or id words of its ancestors. Every block has binary features of its ancestors, its
+A page is scanned once into leaf blocks: runs of text with no block-level tag inside, each with what
+the tags and class or id words of all its ancestors come to. Every block has binary features of its ancestors, its
 text and its links; a two-label chain (main text or not) is trained on labelled pages and decoded by
 Viterbi. The labelled pages are made here by a seeded generator of page layouts.
 
@@ -35,7 +35,6 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 #: A start tag on the left closes the nearest open one on the right, unless one of SCOPE stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "nav", "aside", "body", "select"}
-MAX_DEPTH = 256
 
 
 class Block:
@@ -46,11 +45,12 @@ class Block:
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    """Leaf blocks of a page in order. path: (tag, words of class, id and role) from the root down."""
+    """Leaf blocks of a page in order, each with the ``Path`` of its ancestors, however many there are."""
     found: list[Block] = []
     if not html:
         return found
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack of each tag
     parts: list[str] = []
     state = [0, 0]  # letters inside links so far in this block, open links
 
@@ -64,11 +64,18 @@ def blocks_of(html: str | None) -> list[Block]:
         if parts:
             joined = " ".join(unescape("".join(parts)).split())
             if joined:
-                path = tuple(x for x in stack if x[0] not in INLINE)
-                found.append(Block(joined, path, state[0], len(found)))
+                found.append(Block(joined, stack[-1][1] if stack else ROOT, state[0], len(found)))
             parts.clear()
         state[0] = 0
 
+    def leave(k: int) -> None:
+        for name, _ in stack[k:]:
+            opened[name].pop()
+        del stack[k:]
+
+    def nearest(names) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=-1)
+
     at, end = 0, len(html)
     while at < end:
         m = TOKEN.search(html, at)
@@ -99,23 +106,17 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                leave(opened[tag][-1])
             continue
         if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag not in ("summary", "figcaption", "caption"):
-            stack.pop()  # paragraphs and headings hold no blocks
-        for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-            if stack[k][0] in CLOSES[tag]:
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
-        if len(stack) < MAX_DEPTH:
-            attributes = m[3] or m[6] or ""
-            words = tuple(dict.fromkeys(w for v in VALUES.findall(attributes) for w in WORDS.findall(v.lower()))) if "=" in attributes else ()
-            stack.append((tag, words))
+            leave(len(stack) - 1)  # paragraphs and headings hold no blocks
+        if tag in CLOSES and (k := nearest(CLOSES[tag])) > nearest(SCOPE):
+            leave(k)
+        attributes = m[3] or m[6] or ""
+        words = tuple(dict.fromkeys(w for v in VALUES.findall(attributes) for w in WORDS.findall(v.lower()))) if "=" in attributes else ()
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, below(stack[-1][1] if stack else ROOT, tag, words)))
     flush()
     return found
 
@@ -144,22 +145,28 @@ for _meaning, _words in MEANINGS.items():
 TAGS = "head title body header nav main article section aside footer form fieldset div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption button select option legend details summary address menu dialog center".split()
 
 
-def path_features(path: tuple) -> tuple[str, ...]:
+#: What the ancestors of a block come to: features of their tags and meanings, the innermost named region, the leaf's tag.
+Path = tuple[frozenset, str, str]
+ROOT: Path = (frozenset(), "none", "none")
+
+
+def below(path: Path, tag: str, words: tuple[str, ...]) -> Path:
+    """The path of a tag inside ``path``; its size is bounded, whatever the depth."""
+    features, region, _ = path
+    meanings = {m for w in words for m in MEANING_OF.get(w, ())}
+    weak = sorted(meanings - {"main"}) or sorted(meanings)
+    if tag in ("nav", "header", "footer", "aside", "form", "article", "main", "head"):
+        region = tag
+    elif weak:
+        region = weak[0]
+    own = {f"in:{tag}" if tag in TAGS else "in:other", *(f"means:{m}" for m in meanings)}
+    return (features if own <= features else features | own), region, tag if tag in TAGS else "none"
+
+
+def path_features(path: Path) -> tuple[str, ...]:
     """Features of the ancestors: tags, meanings, the leaf's tag and the innermost named region."""
-    out = set()
-    region = "none"
-    for tag, words in path:
-        out.add(f"in:{tag}" if tag in TAGS else "in:other")
-        meanings = {m for w in words for m in MEANING_OF.get(w, ())}
-        out.update(f"means:{m}" for m in meanings)
-        weak = sorted(meanings - {"main"}) or sorted(meanings)
-        if tag in ("nav", "header", "footer", "aside", "form", "article", "main", "head"):
-            region = tag
-        elif weak:
-            region = weak[0]
-    out.add(f"region:{region}")
-    out.add(f"leaf:{path[-1][0] if path and path[-1][0] in TAGS else 'none'}")
-    return tuple(sorted(out))
+    features, region, leaf = path
+    return tuple(sorted({*features, f"region:{region}", f"leaf:{leaf}"}))
 
 
 def text_features(block: Block) -> list[str]:
