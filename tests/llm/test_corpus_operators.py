@@ -303,6 +303,12 @@ def test_depth_has_no_limit():
         assert htmltext.blocks_of(hostile + "x")[0].text == "x"
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", '<svg class="icon" />', "<math/>", "<svg>", "<noscript>", "<iframe src=/a/>", "<noscript>" * 100_000])
+def test_tags_without_an_end_hide_nothing(tag):
+    assert [b.text for b in htmltext.blocks_of(f"<p>one</p>{tag}<article><p>two</p></article>")] == ["one", "two"]
+    assert [b.text for b in htmltext.blocks_of("<p>one</p><svg /><p>two</p><svg href=/a/><text>no</text></svg><p>three</p><script>var x")] == ["one", "two", "three"]
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ Viterbi. The labelled pages are made here by a seeded generator of page layouts.
 
 Scripts, styles, comments and markup never become text. Character references are decoded, white space
 in a block becomes one space, blocks are joined by a newline. A null or empty page has an empty text;
-unclosed and cut-off markup is tolerated: an open tag ends with the page. Pages are read whole.
+unclosed and cut-off markup is tolerated: an open tag ends with the page, but only an open script or
+style hides what follows it. Pages are read whole.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 VALUES = re.compile(r"""\b(?:class|id|role|style|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+|:none")
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math"}
+#: Without a closing tag, these hold the rest of the page; of the others only the tag itself is skipped.
+TO_THE_END = {"script", "style"}
+FOREIGN = {"svg", "math"}
+#: An attribute value without quotes that takes the slash at the tag's end.
+OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]*/$""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 #: A start tag on the left closes the nearest open one on the right, unless one of SCOPE stands between.
@@ -52,6 +58,7 @@ def blocks_of(html: str | None) -> list[Block]:
     stack: list[tuple[str, Path]] = []
     opened: dict[str, list[int]] = {}  # places in the stack of each tag
     parts: list[str] = []
+    unclosed: set[str] = set()
     state = [0, 0]  # letters inside links so far in this block, open links
 
     def text(piece: str) -> None:
@@ -96,9 +103,17 @@ def blocks_of(html: str | None) -> list[Block]:
                 state[1] = 0 if closing else 1
             continue
         if tag in RAW:
+            attributes = m[3] or m[6] or ""
+            empty = tag in FOREIGN and attributes.endswith("/") and not OPEN_VALUE.search(attributes)
+            if not closing and not empty:
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if close:
+                    at = close.end()
+                elif tag in TO_THE_END:
+                    at = end
+                else:
+                    unclosed.add(tag)  # nor is a later one closed
             if not closing:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else end
                 text(" ")
             continue
         flush()
