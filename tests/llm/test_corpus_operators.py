@@ -202,6 +202,15 @@ def test_batches(spark):
         assert len(b) == 1 or sum(x["padded_to"] for x in b) <= 300
 
 
+def test_long_rows_have_the_least_padding(spark):
+    r = random.Random(9)
+    lengths = [r.choice((40, 300, r.randint(8_193, 60_000))) for _ in range(120)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), buckets=3).collect()
+    names = sorted(set(lengths))
+    best = min(sum(min(b for b in cut if b >= x) - x for x in lengths) for cut in itertools.combinations(names, 3) if cut[-1] == names[-1])
+    assert sum(g["padded_to"] - g["n_tokens"] for g in got) == best
+
+
 # --- neighbours ----------------------------------------------------------------------------------
 
 

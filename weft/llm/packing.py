@@ -1,8 +1,8 @@
 """Operator 8: optimal length buckets and token-budget batches.
 
-The global histogram of lengths is gathered (a row per distinct length; lengths over ``EXACT`` are
-rounded up to 1/256 of their power of two there, so its size is bounded whatever the corpus), and
-dynamic programming over it chooses at most ``buckets`` boundaries with the least padding. A bucket's
+The global histogram of lengths is gathered, a row per distinct length: n distinct lengths take at least
+n * n / 2 tokens in all, so 10 billion tokens have 141,000 at most. Dynamic programming over it chooses
+at most ``buckets`` boundaries with the least padding. A bucket's
 documents are numbered in order of their key across all tasks and cut into batches whose padded size
 stays within the token budget; a document longer than the budget is a batch of its own.
 
@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from .common import shuffle_parts, small_batches, table, written
 from .tokenfile import vocabulary_path, word_encoder
 
-EXACT = 1 << 13
 BUCKETS, BUDGET = 16, 1 << 15
 
 
@@ -41,13 +40,6 @@ def token_lengths(df: DataFrame, path: str | None = None, text: str = "text", ou
     return df.select(*[f.name for f in kept], F.col(text).alias("_text")).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.LongType())]))
 
 
-def rounded(length):
-    """Column: the length as the histogram has it."""
-    power = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.expr("1L").cast("long") * F.pow(F.lit(2.0), power - 8).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[int], int]:
     """Boundaries (ascending, each a length that occurs) of at most ``buckets`` buckets with the least padding, and that padding.
 
@@ -91,7 +83,7 @@ def pack(df: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets:
     """df with bucket int, padded_to long, batch_id long and place int; batches are numbered through all buckets."""
     spark = df.sparkSession
     df = df.drop("bucket", "padded_to", "batch_id", "place")
-    histogram = df.groupBy(rounded(F.coalesce(F.col(length), F.lit(0).cast("long"))).alias("length")).count().collect()
+    histogram = df.groupBy(F.coalesce(F.col(length), F.lit(0).cast("long")).alias("length")).count().collect()
     bounds, _ = boundaries(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     if not bounds:
         bounds = [0]
