@@ -237,3 +237,15 @@ def test_language_columns(spark):
     assert all(g["lang_pred"] == (g["lang"] if g["doc_id"] < 40 else "und") for g in got)
     none = langid.fit(*langid.sample(df.limit(0), "doc_id", "text", "lang"))
     assert {g["lang_pred"] for g in langid.predict(df, none).collect()} == {"und"}
+
+
+def test_any_number_of_languages(spark):
+    """Rare or dirty labels stop nothing: three hundred values, each fitted."""
+    r = random.Random(4)
+    words = {f"l{i}": ["".join(chr(0x4E00 + r.randrange(9000)) for _ in range(3)) for _ in range(6)] for i in range(300)}
+    rows = [(k, " ".join(r.choices(words[n], k=12)), n) for k, n in enumerate([*words] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.sample(df, "doc_id", "text", "lang")
+    assert set(langs) == set(words) and max(langs.count(x) for x in words) == 3
+    got = langid.predict(df, langid.fit(texts, langs), keep=("doc_id", "lang")).collect()
+    assert len(got) == len(rows) and len({g["lang_pred"] for g in got}) > 200

@@ -5,10 +5,11 @@ hold, divided by the root of the product of their numbers of n-grams. Nyström l
 the training sample give each text a vector; one-versus-rest kernel ridge regression is fitted on
 those vectors. As the kernel is linear in the presence vector, landmarks, whitening and regression
 fold into one matrix (n-gram bins x languages), so a batch is scored by one gather and segmented sum,
-which is the product of its sparse presence matrix with that matrix.
+which is the product of its sparse presence matrix with that matrix. With more languages than
+landmarks the matrix stays two factors, (bins x landmarks) and (landmarks x languages).
 
-The classifier is fitted on a bounded sample of labelled rows (``SAMPLE`` per language and ``SAMPLE_ALL`` in all, by hash
-order of the id, so it doesn't depend on partitions); prediction reads whole texts. A text that is
+The classifier is fitted on every label value, on a bounded sample of its rows (``SAMPLE`` per language and ``SAMPLE_ALL`` in
+all, but two of each language at least, by hash order of the id, so it doesn't depend on partitions); prediction reads whole texts. A text that is
 null or has no letter is ``und`` with score 0. Repeated rows get equal predictions. With no labelled
 row at all, every text is ``und``.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +26,8 @@ from .common import small_batches, table
 
 SPECTRUM = (1, 2, 3, 4)
 BINS = 1 << 16
-#: Bounds of the fitted sample: rows per language, rows in all, landmarks, languages. Sampled texts are whole.
-SAMPLE, SAMPLE_ALL, LANDMARKS, LANGUAGES = 150, 1200, 256, 200
+#: Bounds of the fitted sample: rows per language, rows in all, landmarks. Sampled texts are whole.
+SAMPLE, SAMPLE_ALL, LANDMARKS = 150, 1200, 256
 RIDGE = 1e-2
 
 
@@ -47,20 +48,21 @@ def bins_of(text: str) -> np.ndarray:
 
 
 class Model:
-    """Languages and the folded matrix (BINS x languages)."""
+    """Languages and the folded matrix (BINS x languages), or with ``right`` its factors (BINS x landmarks, landmarks x languages)."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.weights, self.bias = languages, weights, bias
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, right: np.ndarray | None = None):
+        self.languages, self.weights, self.bias, self.right = languages, weights, bias, right
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Rows of decision values, one batched product for all texts."""
         bins = [bins_of(t) for t in texts]
         sizes = np.array([max(1, len(b)) for b in bins])
-        out = np.zeros((len(texts), len(self.languages)), np.float32)
+        out = np.zeros((len(texts), self.weights.shape[1]), np.float32)
         for i, b in enumerate(bins):
             if len(b):
                 out[i] = self.weights[b].sum(axis=0)
-        return out / np.sqrt(sizes)[:, None] + self.bias
+        out = out / np.sqrt(sizes)[:, None]
+        return (out if self.right is None else out @ self.right) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         known = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
@@ -80,51 +82,61 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     if not languages:
         return Model([], np.zeros((BINS, 0), np.float32), np.zeros(0, np.float32))
     bins = [bins_of(t) for t in texts]
-    rows = np.zeros((len(texts), BINS), np.float32)
-    for i, b in enumerate(bins):
-        if len(b):
-            rows[i, b] = 1 / np.sqrt(len(b))
+
+    def dense(chosen) -> np.ndarray:
+        rows = np.zeros((len(chosen), BINS), np.float32)
+        for i, k in enumerate(chosen):
+            if len(bins[k]):
+                rows[i, bins[k]] = 1 / np.sqrt(len(bins[k]))
+        return rows
+
     # landmarks: an equal share of every language, in the sample's order
     place, seen = [], {}
     for i, lang in enumerate(langs):
         seen[lang] = seen.get(lang, 0) + 1
         place.append((seen[lang], i))
     chosen = [i for _, i in sorted(place)[:LANDMARKS]]
-    marks = rows[chosen]
+    marks = dense(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = (rows @ marks.T).astype(np.float64) @ whiten
-    target = np.array([[float(x == name) for name in languages] for x in langs])
-    share = target.mean(axis=0)
-    weight = (target / (share * len(languages))).sum(axis=1)  # languages count equally
-    mean = (weight[:, None] * target).sum(axis=0) / weight.sum()
+    blocks = [range(i, min(i + SAMPLE_ALL, len(texts))) for i in range(0, len(texts), SAMPLE_ALL)]
+    features = np.concatenate([(dense(b) @ marks.T).astype(np.float64) @ whiten for b in blocks])
+    number = {name: k for k, name in enumerate(languages)}
+    label = np.array([number[x] for x in langs])
+    weight = len(langs) / (np.bincount(label) * len(languages))[label]  # languages count equally
+    mean = np.bincount(label, weight) / weight.sum()
     centre = (weight[:, None] * features).sum(axis=0) / weight.sum()
     x = features - centre
-    solved = np.linalg.solve(x.T @ (weight[:, None] * x) + RIDGE * np.eye(x.shape[1]), x.T @ (weight[:, None] * (target - mean)))
-    return Model(languages, (marks.T @ (whiten @ solved)).astype(np.float32), (mean - centre @ solved).astype(np.float32))
+    weighted = weight[:, None] * x
+    sums = np.zeros((len(languages), x.shape[1]))
+    np.add.at(sums, label, weighted)  # the product with the 0/1 targets
+    solved = np.linalg.solve(x.T @ weighted + RIDGE * np.eye(x.shape[1]), sums.T - np.outer(weighted.sum(axis=0), mean))
+    right, bias = whiten @ solved, (mean - centre @ solved).astype(np.float32)
+    if len(languages) > LANDMARKS:
+        return Model(languages, np.ascontiguousarray(marks.T), bias, right.astype(np.float32))
+    return Model(languages, (marks.T @ right).astype(np.float32), bias)
 
 
 def sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], list[str]]:
     """A bounded number of labelled rows of each language, by hash order of their ids."""
-    languages = df.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES + 1).collect()
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    found, most = [], min(SAMPLE, max(2, SAMPLE_ALL // max(1, len(languages))))
-    total = {r[lang]: r["count"] for r in languages}
-    for name, count in sorted(total.items()):
-        # a hash threshold thins the language to about four times the need before the sort
-        part = df.where((F.col(lang) == name) & F.col(text).isNotNull()).select(key, F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-        if count > 8 * most:
-            part = part.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * 4 * most / count))
-        found += [(r["t"], name) for r in part.orderBy("h", key, "t").limit(most).collect()]
-    return [t for t, _ in found], [x for _, x in found]
+    counts = df.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    languages = counts.count()
+    most = min(SAMPLE, max(2, SAMPLE_ALL // max(1, languages)))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    # a hash threshold thins a language to about four times the need before the sort
+    share = F.when(F.col("_n") > 8 * most, F.floor(F.lit((1 << 20) * 4 * most) / F.col("_n"))).otherwise(1 << 20)
+    # the model holds every label too, so the counts fit where it fits
+    thinned = rows.join(F.broadcast(counts), "_lang").where(F.pmod("h", F.lit(1 << 20)) < share)
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "_key", "t"))
+    found = sorted((r["_lang"], r["place"], r["t"]) for r in thinned.withColumn("place", place).where(F.col("place") <= most).select("_lang", "place", "t").collect())
+    return [t for _, _, t in found], [x for x, _, _ in found]
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keep..., lang_pred string, score double) for every row of df."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias))  # BINS x languages, whatever the input
+    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias, model.right))  # BINS x 256 at most, and 256 floats a language
 
     def run(batches):
         scorer = Model(*shared.value)
