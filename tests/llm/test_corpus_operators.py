@@ -136,8 +136,10 @@ def test_all_links(spark):
     assert {frozenset((g["a"], g["b"])) for g in pairs.collect()} == want
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CROWDED", 2)
+@pytest.mark.parametrize("crowded, block", [(2, 512), (2, 3), (64, 4)])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowded, block):
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     docs = near_copies(random.Random(5), 5, 12)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {g["doc_id"]: g["component_id"] for g in jaccard.groups(df, 2, 80, 100).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; bounds a Python worker's memory on tables of whole texts.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: A word is a run of anything but ASCII white space.
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -25,12 +25,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset in local mode (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,12 +44,54 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """One operator run's tables in the shared folder: each cuts lineage and survives lost executors.
+
+    A table is dropped as soon as no later one reads it. While a table is written, the session's Arrow batches
+    have ``arrow_rows`` rows, and Spark deletes the shuffle files of that write when it ends.
+    """
+
+    CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, fresh_path(spark, name), 0
+        self.paths: dict[str, list[str]] = {}
+
+    def put(self, name: str, df: DataFrame, arrow_rows: int = BATCH_ROWS) -> DataFrame:
+        """df as a Parquet table."""
+        conf, self.n = self.spark.conf, self.n + 1
+        path = f"{self.folder}/{self.n:03d}-{name}"
+        set_now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(arrow_rows), **dict.fromkeys(self.CLEANUP, "true")}
+        before = {k: conf.get(k, None) for k in set_now}
+        for k, v in set_now.items():
+            conf.set(k, v)
+        try:
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes all tables of these names."""
+        for name in names:
+            for path in self.paths.pop(name, ()):
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.folder)
+        self.paths.clear()
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder that stays: the last one that a result reads."""
+    return Scratch(df.sparkSession, name).put(name, df)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -68,7 +113,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered; call trim() between batches to bound memory."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 40_000):
         super().__init__()
         self.most = most
 
@@ -99,25 +144,29 @@ def runs_hash(words: np.ndarray, length: int) -> np.ndarray:
     return mix64(out)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """Connected components of links between longs: rows (node, label), label the smallest node reached.
 
     Each round lowers every label to the least of its neighbours' and then follows one pointer
     (label of the label); rounds end when no label changes. Nodes without links have no row, nulls
-    and self links are ignored. Labels stay distributed; every round is cut by a checkpoint.
-    Joins are merge joins at every size, so nothing passes through the driver.
+    and self links are ignored. Labels stay distributed; every round is written and the one before it dropped.
+    Joins are merge joins at every size, so nothing passes through the driver; a hub's rows are two longs each,
+    are aggregated before the shuffle, and a join on a hub is one that Spark may split.
     """
-    spark = links.sparkSession
-    shared_dir(spark)
+    scratch = scratch or Scratch(links.sparkSession, "components")
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")).checkpoint()
+    both = scratch.put("links", pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = scratch.put("labels-0", both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")))
+    number = 0
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = lower.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old").checkpoint()
-        changed = after.where("label <> old").limit(1).count()
+        after = lower.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
+        after = scratch.put(f"labels-{number + 1}", after)
+        scratch.drop(f"labels-{number}")
+        number += 1
         labels = after.select("node", "label")
-        if not changed:
+        if not after.where("label <> old").limit(1).count():
+            scratch.drop("links")
             return labels

@@ -11,15 +11,24 @@ as many segments as its own size needs.
 Segments weigh ``slack`` more than the bound needs. So a set whose empty segments and crowded index
 buckets weigh no more than that skips them without losing a link; only sets with more of them (copies
 of each other, as a rule) meet there. Equal sets are one class throughout, so exact copies cost
-nothing. Inside a bucket no pairs are written for members that are already known to be connected: a
-first round compares members with pivots by 512-bit parity sketches (whose distance never exceeds
-the symmetric difference, so no link is missed), verifies the survivors exactly and connects them; a
-second round writes the surviving pairs between different components only. ``links="all"`` writes
+nothing.
+
+Index rows are sorted by range of (signature, class): a signature held by a third of all classes lies in
+many tasks, and rows of signatures that only one class holds end there. Members of a bucket are dealt
+to blocks of about ``BLOCK`` classes. A first round compares members of a block with pivots by 512-bit parity sketches
+(whose distance never exceeds the symmetric difference, so no link is missed), and survivors are verified
+exactly and connected. As long as that connects something, buckets of more than one block do the same with one
+class for each component in them. The last round writes the surviving pairs between different components, block
+against block: the rows of a bucket's largest component never meet each other there. Sets are fetched once, for
+classes that have a survivor in some bucket or lie in a bucket of many blocks; a pair is verified beside its pivot, and a pivot
+of many pairs is copied to a row for each ``BESIDE`` of them. Pairs are compared only within a bucket, but a bucket
+of many blocks whose classes are no copies of each other compares all their sketches. ``links="all"`` writes
 every surviving pair instead, for the whole join.
 
 Shingles are compared as 64-bit hashes. Classes are told apart by 128 bits, and a clash of their 64-bit
 names is found and repaired by another seed. Null texts, and texts without words, have empty sets, linked with nothing;
-a text with fewer words than a shingle is one shingle. Ids may repeat; a null id never is the smallest.
+a text with fewer words than a shingle is one shingle. Ids may repeat; a null id never is the smallest. Texts of any
+length are read whole; an empty table gives an empty result; other columns of df are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -29,15 +38,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix64, runs_hash, small_batches, table, written
+from .common import Scratch, WordHashes, components, mix64, runs_hash, table, written
 
 CROWDED = 64
+BLOCK = 512
+#: Pairs of a pivot that are verified beside one copy of it.
+BESIDE = 128
 SKETCH_BITS = 512
-#: Rows of ids that may be broadcast; above it the join is shuffled.
-BROADCAST_IDS = 200_000
+#: Rows of an Arrow batch where rows are short.
+SHORT_ROWS = 4096
 #: Cost of a chance meeting of two sets in a segment, in index rows.
 MEETING = 10.0
 
@@ -162,165 +174,262 @@ def sketch(tokens: np.ndarray) -> bytes:
 # --- passes over the texts -----------------------------------------------------------------------
 
 
-def _features(df: DataFrame, key: str, text: str, words: int, seed: int) -> DataFrame:
-    """Rows (key, h text hash, n, name, other, sketch): name and other are 128 bits of the set's content."""
+def _name(tokens: np.ndarray, seed: int) -> tuple[int, int]:
+    """128 bits of a set's content, as two signed numbers."""
+    import xxhash
 
-    def run(batches):
-        import xxhash
+    value = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
+    return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
 
-        for batch in batches:
-            out = {n: [] for n in ("n", "name", "other", "sketch")}
-            for t in batch.column(2).to_pylist():
-                tokens = shingle_set(t, words)
-                value = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
-                out["n"].append(len(tokens))
-                out["name"].append((value >> 64) - (1 << 63) if len(tokens) else None)
-                out["other"].append((value & (1 << 64) - 1) - (1 << 63))
-                out["sketch"].append(sketch(tokens) if len(tokens) else None)
-            _HASHES.trim()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out["n"], pa.int64()), pa.array(out["name"], pa.int64()), pa.array(out["other"], pa.int64()), pa.array(out["sketch"], pa.binary())], [key, "h", *out])
 
-    small_batches(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"`{key}` {kind}, h long, n long, name long, other long, sketch binary")
+def _features(df: DataFrame, key: str, text: str, words: int, num: int, den: int, seed: int) -> DataFrame:
+    """Rows (key, h text hash, n, name, other, sketch, signatures, infos): name and other are 128 bits of the set's content.
 
+    signatures and infos are the set's index rows.
+    """
 
-def _index(df: DataFrame, text: str, words: int, num: int, den: int, seed: int) -> DataFrame:
-    """Index rows (signature, name, info) of every text."""
+    def lists(parts, kind):
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)).cast(kind))
 
     def run(batches):
-        import xxhash
-
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
-            parts, names = [], []
-            for t in batch.column(0).to_pylist():
+            out = {n: [] for n in ("n", "name", "other", "sketch", "signatures", "infos")}
+            for t in batch.column(2).to_pylist():
                 tokens = shingle_set(t, words)
-                if len(tokens):
-                    signatures, infos = index_rows(tokens, num, den)
-                    parts.append((signatures, infos))
-                    names.append(np.full(len(signatures), (xxhash.xxh3_128_intdigest(tokens.tobytes(), seed) >> 64) - (1 << 63), np.int64))
+                name, other = _name(tokens, seed)
+                signatures, infos = index_rows(tokens, num, den) if len(tokens) else none
+                out["n"].append(len(tokens))
+                out["name"].append(name if len(tokens) else None)
+                out["other"].append(other)
+                out["sketch"].append(sketch(tokens) if len(tokens) else None)
+                out["signatures"].append(signatures)
+                out["infos"].append(infos)
             _HASHES.trim()
-            for at in range(0, len(parts), 64):
-                some = parts[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in some])), pa.array(np.concatenate(names[at : at + 64])), pa.array(np.concatenate([i for _, i in some]).astype(np.int32))], ["signature", "name", "info"])
+            columns = [pa.array(out["n"], pa.int64()), pa.array(out["name"], pa.int64()), pa.array(out["other"], pa.int64()), pa.array(out["sketch"], pa.binary()), lists(out["signatures"], pa.int64()), lists(out["infos"], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [key, "h", *out])
 
-    small_batches(df.sparkSession)
-    return df.select(text).mapInArrow(run, "signature long, name long, info int")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"`{key}` {kind}, h long, n long, name long, other long, sketch binary, signatures array<long>, infos array<int>")
 
 
 def _sets(df: DataFrame, text: str, words: int, seed: int) -> DataFrame:
-    """Rows (name, tokens array<long>) of the texts of df, empty sets left out."""
+    """Rows (name, tokens binary: sorted 64-bit shingles) of the texts of df, empty sets left out."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             names, tokens = [], []
             for t in batch.column(0).to_pylist():
                 found = shingle_set(t, words)
                 if len(found):
-                    names.append((xxhash.xxh3_128_intdigest(found.tobytes(), seed) >> 64) - (1 << 63))
-                    tokens.append(found.view(np.int64))
+                    names.append(_name(found, seed)[0])
+                    tokens.append(found.tobytes())
             _HASHES.trim()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["name", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(tokens, pa.binary())], ["name", "tokens"])
 
-    small_batches(df.sparkSession)
-    return df.select(text).mapInArrow(run, "name long, tokens array<long>")
+    return df.select(text).mapInArrow(run, "name long, tokens binary")
 
 
-# --- candidates ----------------------------------------------------------------------------------
+# --- buckets -------------------------------------------------------------------------------------
 
 
-def _bucket_pairs(rows: DataFrame, num: int, den: int, across: bool) -> DataFrame:
-    """Pairs (a, b) of bucket members (signature, name, n, sketch, label) whose sketches and sizes allow a link.
-
-    across: all such pairs of members with different labels; else each member with its pivot only.
-    """
-
-    def near(sketches, sizes, i, others):
-        differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1)
-        s = sizes[others] + sizes[i]
-        fits = differ <= (den - num) * s // (den + num)
-        return fits & (den * np.minimum(sizes[others], sizes[i]) >= num * np.maximum(sizes[others], sizes[i]))
-
-    def bucket(names, sizes, sketches, labels):
-        found = []
-        if across:
-            for i in range(len(names) - 1):
-                others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-                if len(others):
-                    others = others[near(sketches, sizes, i, others)]
-                    found.append(np.stack((np.full(len(others), names[i]), names[others])))
-        else:
-            left = np.arange(len(names))
-            while len(left) > 1:
-                pivot, left = left[0], left[1:]
-                hit = near(sketches, sizes, pivot, left)
-                if hit.any():
-                    found.append(np.stack((np.full(int(hit.sum()), names[pivot]), names[left[hit]])))
-                    left = left[~hit]
-        return found
+def _met(index: DataFrame) -> DataFrame:
+    """Index rows of signatures that two classes or more hold, once for each class; a task's first and last signatures all stay."""
 
     def run(batches):
-        kept = None
-        for last, table_ in _with_last(batches):
-            now = table_ if kept is None else pa.concat_tables([kept, table_])
-            signatures = now.column("signature").to_numpy()
-            n = len(signatures)
-            if not n:
+        last, emitted, pending, first = None, False, None, None
+        for batch in batches:
+            signature, name, info = (batch.column(k).to_numpy() for k in range(3))
+            if not len(signature):
                 continue
-            starts = np.flatnonzero(np.concatenate(([True], signatures[1:] != signatures[:-1])))
-            if not last:  # the last bucket may go on in the next batch
-                kept, n = now.slice(int(starts[-1])), int(starts[-1])
-                starts = starts[:-1]
-            if not len(starts):
+            if first is None:
+                first = signature[0]
+            new = np.ones(len(signature), bool)  # copies wrote equal rows: one for each class stays
+            new[1:] = (signature[1:] != signature[:-1]) | (name[1:] != name[:-1])
+            if last is not None:
+                new[0] = (signature[0], name[0]) != last
+            last = (signature[-1], name[-1])
+            signature, name, info = signature[new], name[new], info[new]
+            if pending is not None:
+                signature, name, info = (np.concatenate(([p], x)) for p, x in zip(pending, (signature, name, info)))
+                pending = None
+            if not len(signature):
                 continue
-            names, sizes = now.column("name").to_numpy()[:n], now.column("n").to_numpy()[:n]
-            labels = now.column("label").to_numpy()[:n]
-            sketches = np.frombuffer(b"".join(now.column("sketch").to_pylist()[:n]), np.uint64).reshape(n, -1)
-            found = []
-            for a, b in zip(starts, np.append(starts[1:], n)):
-                if b - a > 1:
-                    found += bucket(names[a:b], sizes[a:b], sketches[a:b], labels[a:b])
+            starts = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+            sizes = np.diff(np.append(starts, len(signature)))
+            keep = (sizes > 1) | (signature[starts] == first)
+            if emitted is not False and signature[0] == emitted:
+                keep[0] = True
+            if not keep[-1]:  # alone so far
+                pending = (signature[-1], name[-1], info[-1])
+            emitted = signature[-1] if keep[-1] else False
+            stay = np.repeat(keep, sizes)
+            if stay.any():
+                yield pa.RecordBatch.from_arrays([pa.array(signature[stay]), pa.array(name[stay]), pa.array(info[stay].astype(np.int32))], ["signature", "name", "info"])
+        if pending is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], k) for x, k in zip(pending, (pa.int64(), pa.int64(), pa.int32()))], ["signature", "name", "info"])
+
+    return index.repartitionByRange("signature", "name").sortWithinPartitions("signature", "name").mapInArrow(run, "signature long, name long, info int")
+
+
+def _near(sketches, sizes, i, others, num, den):
+    """Which of ``others`` may link with member i by sketch and size."""
+    differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1)
+    s = sizes[others] + sizes[i]
+    fits = differ <= (den - num) * s // (den + num)
+    return fits & (den * np.minimum(sizes[others], sizes[i]) >= num * np.maximum(sizes[others], sizes[i]))
+
+
+def _cells(batches, n_keys):
+    """Of batches sorted by their first n_keys columns: arrays of whole cells (binary columns as rows of 64-bit numbers), and the cells' edges."""
+
+    def arrays(batch):
+        return [np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) if pa.types.is_binary(x.type) else x.to_numpy() for x in batch.columns]
+
+    def edges(x):
+        change = np.zeros(len(x[0]), bool)
+        for k in range(n_keys):
+            change[1:] |= x[k][1:] != x[k][:-1]
+        return np.array([0, *np.flatnonzero(change), len(change)])
+
+    kept = []  # pieces of the last cell, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = arrays(batch)
+        goes_on = not kept or all(kept[-1][k][-1] == now[k][0] for k in range(n_keys))
+        last = edges(now)[-2]
+        if not last and goes_on:
+            kept.append(now)
+            continue
+        whole = [np.concatenate(x) for x in zip(*kept, [x[:last] for x in now])]
+        yield whole, edges(whole)
+        kept = [[x[last:] for x in now]]
+    if kept:
+        whole = [np.concatenate(x) for x in zip(*kept)]
+        yield whole, edges(whole)
+
+
+def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _pivot_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of bucket members (signature, name, n, sketch, c) and the pivots of their blocks whose sketches and sizes allow a link.
+
+    c is the bucket's size. A pair (a, a) says that a pivot without partner may link with a member that another pivot has taken.
+    """
+
+    def run(batches):
+        for (_, _, names, sizes, sketches), edges in _cells(batches, 2):
+            found, at, size = [], edges[:-1], np.diff(edges)
+            twos = at[size == 2]  # most cells
+            if len(twos):
+                hit = twos[_near(sketches, sizes, twos, twos + 1, num, den)]
+                found.append(np.stack((names[hit], names[hit + 1])))
+            for start, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
+                left = np.arange(start, start + n)
+                while len(left):
+                    pivot, left = left[0], left[1:]
+                    hit = _near(sketches, sizes, pivot, left, num, den)
+                    if hit.any():
+                        found.append(np.stack((np.full(int(hit.sum()), names[pivot]), names[left[hit]])))
+                        left = left[~hit]
+                    elif _near(sketches, sizes, pivot, np.delete(np.arange(start, start + n), pivot - start), num, den).any():
+                        found.append(np.array([[names[pivot]], [names[pivot]]]))
             if found:
-                pairs = np.concatenate(found, axis=1)
-                pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield _pairs_batch(found)
 
-    ordered = rows.repartition("signature").sortWithinPartitions("signature", "name")
-    return ordered.select("signature", "name", "n", "sketch", "label").mapInArrow(run, "a long, b long").distinct()
+    block = F.pmod(F.xxhash64("name"), F.ceil(F.col("c") / BLOCK)).cast("int")
+    dealt = rows.withColumn("block", block).repartition("signature", "block").sortWithinPartitions("signature", "block", "name")
+    return dealt.select("signature", "block", "name", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_last(batches):
-    """(whether it is the last, the batch as a table) of each batch."""
-    held = None
-    for batch in batches:
-        if held is not None:
-            yield False, held
-        held = pa.Table.from_batches([batch])
-    if held is not None:
-        yield True, held
+def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (signature, name, n, sketch, label) of a bucket with different labels, sketches and sizes allowing a link.
 
+    A bucket of many blocks is dealt to cells of two blocks each; its largest label's blocks meet those of all others, never each other.
+    """
+    counts = rows.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("m"))
+    whole = counts.groupBy("signature").agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("top"))
+    whole = whole.select("signature", "c", F.col("top.label").alias("major"), F.col("top.m").alias("m"))
+    rows = rows.join(whole.hint("merge"), "signature").where("c > m")
+    hot = F.col("c") > BLOCK
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
+    rows = rows.withColumn("big", F.when(hot & (F.col("m") > BLOCK), blocks(F.col("m"))).otherwise(0))
+    rows = rows.withColumn("is_big", (F.col("big") > 0) & (F.col("label") == F.col("major")))
+    rest = F.when(F.col("big") > 0, F.col("c") - F.col("m")).otherwise(F.col("c"))
+    rows = rows.withColumn("rest", blocks(rest)).withColumn("own", F.pmod(F.xxhash64("name"), F.when(F.col("is_big"), F.col("big")).otherwise(F.col("rest"))).cast("int"))
+    # a cell (i, j): block i >= 0 and j >= i of the rest; or -1 - i, block i of the largest label, and j of the rest. side: 0 for block i.
+    others = F.sequence(F.lit(0), F.col("rest") - 1)
+    of_big = F.transform(others, lambda j: F.struct((-1 - F.col("own")).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    among = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k < F.col("own"), 1).otherwise(0).alias("side")))
+    to_big = F.transform(F.sequence(F.lit(0), F.col("big") - 1), lambda i: F.struct((-1 - i).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+    cells = F.when(F.col("is_big"), of_big).when(F.col("big") > 0, F.concat(among, to_big)).otherwise(among)
+    dealt = rows.withColumn("cell", F.explode(cells)).select("signature", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "name", "n", "sketch", "label")
 
-def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, key: str, text: str, words: int, num: int, den: int, seed: int) -> DataFrame:
-    """pairs with ``linked``: the exact test on whole sets."""
-    names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    # one text of each class is enough
-    chosen = classes.join(names.hint("merge"), "name").select(F.coalesce(F.col(f"x.{key}").cast("long"), F.lit(-(2**63))).alias("_k"), F.col("x.h").alias("h"))
-    chosen = written(chosen, "join-texts")
-    if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    keyed = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64(text).alias("h"), text)
-    texts = keyed.join(chosen, ["_k", "h"], "left_semi")
-    sets = written(_sets(texts, text, words, seed).dropDuplicates(["name"]), "join-sets")
-    right = sets.select(F.col("name").alias("b"), F.col("tokens").alias("right"))
-    left = sets.select(F.col("name").alias("a"), F.col("tokens").alias("left"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("i"), (F.size("left") + F.size("right")).cast("long").alias("s"))
-    return written(shared.select("a", "b", (den * F.col("i") >= num * (F.col("s") - F.col("i"))).alias("linked")), "join-pairs")
-
-
-def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: str = "components"):
+    def run(batches):
+        for (_, i, j, side, names, sizes, sketches, labels), edges in _cells(batches, 3):
+            found, starts, size = [], edges[:-1], np.diff(edges)
+            twos = starts[(size == 2) & (i[starts] == j[starts])]
+            twos = twos[labels[twos] != labels[twos + 1]]
+            if len(twos):
+                hit = twos[_near(sketches, sizes, twos, twos + 1, num, den)]
+                found.append(np.stack((names[hit], names[hit + 1])))
+            for start, end in zip(edges, edges[1:]):
+                inside = i[start] == j[start]
+                if inside and end - start == 2:
+                    continue
+                every = np.arange(start, end)
+                left, right = every[side[start:end] == 0], every[side[start:end] == 1]
+                few, many = (left, right) if inside or len(left) <= len(right) else (right, left)
+                for at in few:
+                    others = np.arange(at + 1, end) if inside else many
+                    others = others[labels[others] != labels[at]]
+                    if len(others):
+                        others = others[_near(sketches, sizes, at, others, num, den)]
+                        found.append(np.stack((np.full(len(others), names[at]), names[others])))
+            if found:
+                yield _pairs_batch(found)
+
+    return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """pairs with ``linked``: the exact test on whole sets, beside the pivot a; a pivot of many pairs is copied for each block of them."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BESIDE).alias("blocks"))
+    counts = scratch.put("counts", counts)  # a join of two tables is one that Spark may split
+    pairs = pairs.join(counts.hint("merge"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    pivots = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+    ours = pivots.join(sets.withColumnRenamed("name", "a").hint("merge"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
+    theirs = pairs.join(sets.withColumnRenamed("name", "b").hint("merge"), "b").select("a", "block", "b", "tokens")
+
+    def run(batches):
+        mine, a = None, None
+        for batch in batches:
+            out = {"a": [], "b": [], "linked": []}
+            for pivot, b, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                other = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if b is None:
+                    a, mine = pivot, other.copy()
+                    continue
+                if a != pivot:
+                    raise RuntimeError("a pair without its pivot")
+                at = np.searchsorted(mine, other)
+                at[at == len(mine)] = 0
+                shared = int((mine[at] == other).sum())
+                out["a"].append(pivot)
+                out["b"].append(b)
+                out["linked"].append(den * shared >= num * (len(mine) + len(other) - shared))
+            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["linked"], pa.bool_())], list(out))
+
+    beside = ours.unionByName(theirs).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return beside.mapInArrow(run, "a long, b long, linked boolean")
+
+
+def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: str = "components", scratch: Scratch | None = None):
     """The join of df's texts with themselves at Jaccard similarity num / den or more.
 
     Returns (rows, pairs): rows (key, h, n, name) with a class name for each document (null: empty set),
@@ -329,68 +438,109 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     """
     if not 0 < num <= den:
         raise ValueError("the similarity lies in (0, 1]")
+    scratch = scratch or Scratch(df.sparkSession, "join")
     for seed in range(100):
-        rows = written(_features(df, key, text, words, seed), "join-rows")
+        rows = scratch.put("rows", _features(df, key, text, words, num, den, seed))
         classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.min(F.struct(key, "h")).alias("x"))
-        classes = written(classes, "join-classes")
+        classes = scratch.put("classes", classes)
         if not classes.where("o1 <> o2").limit(1).count():
             break
+        scratch.drop("rows", "classes")
     else:
         raise RuntimeError("class names clash under every seed")
 
-    index = _index(df, text, words, num, den, seed)
-    met = index.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("signature"))).where("c > 1").drop("c")
-    # copies wrote equal rows: one for each class stays, and buckets of one class go
-    met = written(met.distinct(), "join-index")
-    counts = met.groupBy("signature").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("m1"), F.max("name").alias("m2")).where("m1 <> m2").select("signature", "c")
-    members = written(met.join(counts.hint("merge"), "signature"), "join-members")
+    index = rows.where("n > 0").select("name", "infos", F.posexplode("signatures").alias("at", "signature")).select("signature", "name", F.col("infos")[F.col("at")].alias("info"))
+    met = scratch.put("met", _met(index), SHORT_ROWS)
+    rows = scratch.put("ids", rows.select(key, "h", "n", "name"))
+    scratch.drop("rows")
+    counts = met.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = scratch.put("members", met.join(counts.hint("merge"), "signature"))
+    scratch.drop("met")
     weight, slack, band = F.col("info").bitwiseAND(3), F.shiftright("info", 2).bitwiseAND(0x3FFFF), F.shiftright("info", 20)
     crowd = members.where(F.col("c") > CROWDED).groupBy("name", band.alias("band")).agg(F.sum(weight).alias("load"))
-    members = members.withColumn("band", band).join(crowd.hint("merge"), ["name", "band"], "left")
     stays = (F.col("c") <= CROWDED) | (F.col("load") > slack) | (weight == 3)
-    members = members.where(stays).select("signature", "name").distinct()
-    members = written(members.join(classes.select("name", "n", "sketch").hint("merge"), "name").withColumn("label", F.col("name")), "join-buckets")
+    stayed = members.withColumn("band", band).join(crowd.hint("merge"), ["name", "band"], "left").where(stays).select("signature", "name", "c")
+    buckets = scratch.put("buckets", stayed.join(classes.select("name", "n", "sketch").hint("merge"), "name"))
+    scratch.drop("members")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        return _verified(written(pairs, "join-candidates"), df, classes, key, text, words, num, den, seed)
-
-    if links == "all":
-        return rows, tested(_bucket_pairs(members, num, den, True)).where("linked").select("a", "b")
-    first = tested(_bucket_pairs(members, num, den, False))
-    found = first.where("linked").select("a", "b")
-    labels = components(found)
-    marked = members.drop("label").join(labels.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    marked = written(marked, "join-marked")
-    mixed = marked.groupBy("signature").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("signature")
-    left = _bucket_pairs(marked.join(mixed.hint("merge"), "signature"), num, den, True).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    second = tested(left)
-    return rows, found.unionByName(second.where("linked").select("a", "b"))
+    many = links == "all"
+    if many:
+        pairs = scratch.put("candidates", _cross_pairs(buckets.withColumn("label", F.col("name")).drop("c"), num, den), SHORT_ROWS)
+    else:
+        pairs = scratch.put("candidates", _pivot_pairs(buckets, num, den), SHORT_ROWS)
+    names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).unionByName(buckets.where(F.col("c") > BLOCK).select("name")).distinct()
+    # one text of each class is enough
+    absent = F.lit(-(2**63))
+    chosen = classes.join(names.hint("merge"), "name", "left_semi").select(F.coalesce(F.col(f"x.{key}").cast("long"), absent).alias("_k"), F.col("x.h").alias("_h"))
+    keyed = df.select(F.coalesce(F.col(key).cast("long"), absent).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    texts = keyed.join(chosen.hint("merge"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
+    sets = scratch.put("sets", _sets(texts, "_text", words, seed).dropDuplicates(["name"]))
+
+    def tested(candidates: DataFrame) -> DataFrame:
+        return scratch.put("pairs", _verified(candidates, sets, num, den, scratch))
+
+    done = tested(pairs.where("a <> b"))
+    linked = done.where("linked").select("a", "b")
+    scratch.drop("candidates")
+    if many:
+        return rows, linked
+
+    def marked(links: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with their labels."""
+        labels = components(links, scratch=scratch).withColumnRenamed("node", "name")
+        named = buckets.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+        mixed = named.groupBy("signature").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("signature")
+        return scratch.put("marked", named.join(mixed.hint("merge"), "signature", "left_semi"))
+
+    rows_left = marked(linked)
+    while rows_left.where(F.col("c") > BLOCK).limit(1).count():
+        one = rows_left.where(F.col("c") > BLOCK).groupBy("signature", "label").agg(F.min(F.struct("name", "n", "sketch")).alias("x")).select("signature", "x.*")
+        one = scratch.put("ones", one)
+        one = one.join(one.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "signature")
+        again = scratch.put("candidates", _pivot_pairs(one, num, den).where("a <> b").join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), SHORT_ROWS)
+        more = tested(again)
+        scratch.drop("ones", "candidates")
+        done = done.unionByName(more)
+        linked = linked.unionByName(more.where("linked").select("a", "b"))
+        if not more.where("linked").limit(1).count():
+            break
+        scratch.drop("marked")
+        rows_left = marked(linked)
+    last = _cross_pairs(rows_left.drop("c"), num, den).join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    more = tested(scratch.put("candidates", last, SHORT_ROWS))
+    scratch.drop("marked", "buckets", "classes", "sets", "candidates")
+    return rows, linked.unionByName(more.where("linked").select("a", "b"))
 
 
 def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, h, n_shingles, component_id): the smallest key reachable by links (with an empty set: its own)."""
-    rows, pairs = join(df, words, num, den, key, text)
-    labels = components(pairs).withColumnRenamed("node", "name")
+    scratch = Scratch(df.sparkSession, "join")
+    rows, pairs = join(df, words, num, den, key, text, scratch=scratch)
+    labels = components(pairs, scratch=scratch).withColumnRenamed("node", "name")
     classes = rows.where("n > 0").groupBy("name").agg(F.min(key).alias("least"))
-    labelled = classes.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "join-least")
-    named = written(labelled.join(least.hint("merge"), "label").select("name", "component_id"), "join-named")
-    return rows.join(named.hint("merge"), "name", "left").select(key, "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    labelled = scratch.put("labelled", classes.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name")))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled.join(least.hint("merge"), "label").select("name", "component_id")
+    found = rows.select(key, "h", "n", "name").join(named.hint("merge"), "name", "left")
+    found = found.select(key, "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    result = written(found, "join-groups")
+    scratch.clear()
+    return result
 
 
 def without_near_copies(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each group: the smallest key, then the smallest text hash. Rows equal in key and text count once.
 
-    Documents with an empty set stay.
+    Documents with an empty set stay. Columns of df may have any names.
     """
     found = groups(df, words, num, den, key, text)
-    lone = found.where("n_shingles = 0").select(key, "h")
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h")).alias("x"))
-    keep = written(lone.unionByName(best.select(F.col("x.k").alias(key), F.col("x.h").alias("h"))), "join-kept")
     absent = F.lit(-(2**63))
-    keep = keep.select(F.coalesce(F.col(key).cast("long"), absent).alias("_k"), "h").distinct()
-    keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), absent)).withColumn("_h", F.xxhash64(text))
-    return keyed.join(keep.withColumnRenamed("h", "_h").hint("merge"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*df.columns)
+    lone = found.where("n_shingles = 0").select(F.coalesce(F.col(key).cast("long"), absent).alias("k"), "h")
+    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h")).alias("x"))
+    keep = lone.unionByName(best.select(F.coalesce(F.col("x.k").cast("long"), absent).alias("k"), F.col("x.h").alias("h"))).distinct()
+    keyed = df.select(F.coalesce(F.col(key).cast("long"), absent).alias("k"), F.xxhash64(text).alias("h"), F.struct(*df.columns).alias("row"))
+    kept = keyed.join(keep.hint("merge"), ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op7_jaccard(spark, sf_dir):
