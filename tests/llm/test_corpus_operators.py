@@ -77,6 +77,19 @@ def test_line_dedup_deletes_maximal_runs(spark):
     assert got[-1]["text"] == "own\nother"
 
 
+def test_equal_rows_are_one_document(spark):
+    """Fifty equal rows, and fifty without an id, have one result and don't multiply."""
+    body = "\n".join(f"line {i} of a text that many rows hold, with some more words in it" for i in range(40))
+    other = "\n".join(f"own {i} words of the other text that stands alone here" for i in range(40))
+    rows = [(5, body)] * 50 + [(None, body)] * 50 + [(7, other)] * 3 + [(9, body + "\nits own last line"), (10, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {}
+    for g in linededup.dedup(df, maximal=True).collect():
+        got.setdefault(g["doc_id"], []).append(g["text"])
+    # no id comes first
+    assert got == {None: [body] * 50, 5: [""] * 50, 7: [other] * 3, 9: ["its own last line"], 10: ["x y z"]}
+
+
 # --- the join ------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,9 @@ is the maximal repeated runs; without ``maximal`` the last lines of one can stay
 twice as many such runs as lines. Runs that lie in one line, or overlap their own copy, count too.
 
 A null text stays null and an empty one empty. A document of which every line with a word is deleted gets an
-empty text. Rows equal in id and text are one document and get one result. Other columns pass through.
+empty text. Rows equal in id and text (null ids are equal) are one document:
+each gets its result, and they are no copies of each other. Texts of any length are read whole. Other columns, of any names, pass
+through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts, small_batches, table, written
+from .common import Scratch, shuffle_parts, small_batches, table, written
 
 MIN_WORDS = 50
 AT = ["d", "h", "line"]
@@ -70,39 +72,42 @@ def line_rows(keyed: DataFrame, text: str, min_words: int, maximal: bool = False
                 out["most"] += [int(x) or None for x in most]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n in ("line", "need", "most") else pa.int64()) for n, v in out.items()], list(out))
 
-    small_batches(keyed.sparkSession)
     schema = "d long, h long, line int, a long, b long, need int, most int"
     return keyed.select("d", "h", text).mapInArrow(run, schema)
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., rank) of the keys that occur at least twice; ranks ascend with the keys, over all tasks."""
+def _named(rows: DataFrame, keys: list[str], out: str, scratch: Scratch) -> DataFrame:
+    """(keys..., out) of the keys that occur at least twice; ranks ascend with the keys, over all tasks."""
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ordered = repeated.repartitionByRange(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return written(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+    return scratch.put("names", ordered.withColumn(out, F.monotonically_increasing_id()))
 
 
-def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For each k, rows (d, h, line, need, most, rank) of the suffixes whose first 2**k lines occur elsewhere too."""
-    levels = [written(lines.join(_named(lines, ["a", "b"]), ["a", "b"]).select(*AT, "need", "most", "rank"), "suffixes")]
-    longest = levels[0].agg(F.max("most")).first()[0] or 0
-    while 2 ** len(levels) <= longest:
-        step, now = 2 ** (len(levels) - 1), levels[-1]
-        ahead = now.select("d", "h", (F.col("line") - step).alias("line"), F.col("rank").alias("rank2"))
-        pairs = now.join(ahead, AT)
-        after = written(pairs.join(_pair_names(pairs), ["rank", "rank2"]).select(*AT, "need", "most", F.col("next").alias("rank")), "suffixes")
-        if not after.limit(1).count():
-            break
-        levels.append(after)
-    return levels
+def suffix_ranks(lines: DataFrame, scratch: Scratch):
+    """For each k, yields rows (d, h, line, need, most, rank) of the suffixes whose first 2**k lines occur elsewhere too.
 
-
-def _pair_names(pairs: DataFrame) -> DataFrame:
-    named = _named(pairs.select(F.col("rank").alias("r1"), F.col("rank2").alias("r2")), ["r1", "r2"])
-    return named.select(F.col("r1").alias("rank"), F.col("r2").alias("rank2"), F.col("rank").alias("next"))
-
-
-def later_runs(levels: list[DataFrame]) -> DataFrame | None:
+    A level is dropped when the next one is asked for. Rows equal in id and text wrote equal lines; each stays once.
+    Joins are of two written tables, which lets Spark split a key that many lines share.
+    """
+    now = scratch.put("suffixes-0", lines.join(_named(lines, ["a", "b"], "rank", scratch).hint("merge"), ["a", "b"]).select(*AT, "need", "most", "rank").dropDuplicates(AT))
+    scratch.drop("names")
+    longest = now.agg(F.max("most")).first()[0] or 0
+    k = 0
+    while True:
+        yield now
+        if 2 ** (k + 1) > longest:
+            return
+        ahead = now.select("d", "h", (F.col("line") - 2**k).alias("line"), F.col("rank").alias("rank2"))
+        pairs = scratch.put("pairs", now.join(ahead.hint("merge"), AT))
+        names = _named(pairs, ["rank", "rank2"], "next", scratch)
+        now = scratch.put(f"suffixes-{k + 1}", pairs.join(names.hint("merge"), ["rank", "rank2"]).select(*AT, "need", "most", F.col("next").alias("rank")))
+        scratch.drop("pairs", "names", f"suffixes-{k}")
+        k += 1
+        if not now.limit(1).count():
+            return
+
+
+def later_runs(levels, scratch: Scratch) -> DataFrame:
     """Rows (d, h, line, need): runs of ``need`` lines that occur earlier, in order of (d, h, line)."""
     found = None
     for k, level in enumerate(levels):
@@ -111,10 +116,13 @@ def later_runs(levels: list[DataFrame]) -> DataFrame | None:
         own = own.withColumn("need", F.explode(lengths))
         far = level.select("d", "h", F.col("line").alias("end"), F.col("rank").alias("rank2"))
         runs = own.withColumn("end", F.col("line") + F.col("need") - 2**k)
-        runs = runs.withColumn("rank2", F.col("rank")) if k == 0 else runs.join(far, ["d", "h", "end"])
-        runs = written(runs.select(*AT, "need", "rank", "rank2"), "line-runs")
+        runs = runs.withColumn("rank2", F.col("rank")) if k == 0 else runs.join(far.hint("merge"), ["d", "h", "end"])
+        runs = scratch.put("runs", runs.select(*AT, "need", "rank", "rank2"))
         first = runs.groupBy("rank", "rank2", "need").agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = runs.join(first, ["rank", "rank2", "need"]).where(F.struct(*AT) != F.col("first")).select(*AT, "need")
+        first = scratch.put("first", first)
+        later = runs.join(first.hint("merge"), ["rank", "rank2", "need"]).where(F.struct(*AT) != F.col("first")).select(*AT, "need")
+        later = scratch.put("later", later)
+        scratch.drop("runs", "first")
         found = later if found is None else found.unionByName(later)
     return found
 
@@ -128,10 +136,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     others = [c for c in df.columns if c not in (key, text)]
     packed = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_0"), *others).alias("_row"))
     keyed = with_key(packed, "_key", "_text")
-    lines = written(line_rows(keyed, "_text", min_words, maximal), "lines")
-    runs = later_runs(suffix_ranks(lines))
+    scratch = Scratch(df.sparkSession, "lines")
+    lines = scratch.put("lines", line_rows(keyed, "_text", min_words, maximal))
+    runs = later_runs(suffix_ranks(lines, scratch), scratch)
     # a document's runs are bounded by its own lines
     marks = written(runs.groupBy("d", "h").agg(F.collect_set(F.struct("line", "need")).alias("_runs")), "line-marks")
+    scratch.clear()
     # a merge join at every size: how many marks there are follows the corpus
     joined = keyed.join(marks.hint("merge"), ["d", "h"], "left").select("_key", "_text", "_row", "_runs")
 
@@ -155,6 +165,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
                 n_deleted.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], ["_key", "_text", "_row", "n_lines", "n_deleted"])
 
+    small_batches(df.sparkSession)
     fields = [*[f for f in joined.schema.fields if f.name != "_runs"], T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())]
     done = joined.mapInArrow(run, T.StructType(fields))
     place = {key: "_key", text: "_text"}
