@@ -35,6 +35,37 @@ def test_bpe_equals_the_library():
     assert mine.decode(cut) == library.decode(cut, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_among_white_space():
+    """Runs of white space of any kind, which a space may begin, end or part."""
+    path = bpe.vocabulary_path()
+    library, mine = tokenizers.Tokenizer.from_file(path), bpe.codec(path)
+    blanks = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    r = random.Random(6)
+    texts = ["_ \xa0 \xa0", "22 \xa0 \xa0", "a\n \nb", " \u3000 x"]
+    texts += ["".join(r.choices([*blanks, *[" "] * 25, *"ab1.'é中"], k=r.randint(1, 25))) for _ in range(60_000)]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert mine.encode(text) == e.ids, text
+
+
+def test_automaton_lists_every_piece_that_ends():
+    r = random.Random(2)
+    pieces = {"".join(r.choices("ab", k=r.randint(1, 5))): i for i in range(25)}
+    machine, text, state = bpe.Automaton(pieces), "".join(r.choices("abc", k=400)), 0
+    for end, c in enumerate(text, 1):
+        state = machine.step(state, c)
+        assert list(machine.ends[state]) == [(n, pieces[text[end - n : end]]) for n in range(min(end, 5), 0, -1) if text[end - n : end] in pieces]
+
+
+def test_bpe_rows(spark):
+    """Equal rows, a very long text and columns of the operator's own names."""
+    long = "lorem ipsum, dolor \xa0 sit " * 40_000 + "x" * 50_000
+    df = spark.createDataFrame([(1, long, "n"), (2, "a b", "m"), (2, "a b", "m"), (2, "a b", "k")], "doc_id long, text string, n_tokens string")
+    rows = bpe.digests(df).orderBy("doc_id").collect()
+    assert len(rows) == 4 and len(set(rows[1:])) == 1 and rows[0]["n_tokens"] == len(bpe.codec(bpe.vocabulary_path()).encode(long))
+    back = bpe.decode(bpe.encode(df, ids="n_tokens"), ids="n_tokens").orderBy("doc_id").collect()
+    assert back[0]["decoded"] == long and len(back) == 4
+
+
 def test_bpe_columns(spark):
     df = spark.createDataFrame([(1, "hello world", 7), (2, None, 8), (None, "", 9)], "doc_id long, text string, ids long")
     rows = bpe.decode(bpe.encode(df)).collect()

@@ -1,20 +1,24 @@
 """Operator 1: byte-level BPE encoding and decoding by dynamic programming over prefixes.
 
-For every prefix of a pretoken exactly one vocabulary token can end its encoding. A suffix automaton
-of the vocabulary lists all tokens that end at a position; of these the one that is compatible with the
-last token of the prefix before it is stored. Short pretokens share what is stored for their prefixes. Following the stored tokens back from the end emits
+For every prefix of a pretoken exactly one vocabulary token can end its encoding. An automaton of the
+vocabulary reads the pretoken once; its state is the longest suffix of the prefix that begins a token, and
+its suffix links lead to all tokens that end there. Of these the one that is compatible with the
+last token of the prefix before it is stored. Following the stored tokens back from the end emits
 the ids, in time linear in the text, however long a pretoken is.
 
 Two neighbouring tokens are compatible if no merge joins a part on the left token's right edge to a
 part on the right token's left edge before the merges that swallow those parts.
 
-Nulls and empty texts have no ids. Texts are encoded whole. Other columns pass through ``encode``.
+Nulls and empty texts have no ids, and decode to an empty text. Texts of any length are encoded whole. Rows are
+independent: equal rows get equal results, an empty table gives an empty one. Other columns of any name pass through
+``encode`` and ``decode``, which replace a column of the name they write; ``digests`` returns the key and its own columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from itertools import chain
 
 import pyarrow as pa
@@ -27,8 +31,9 @@ from .common import small_batches, table
 #: The split of text before the merges (fixed by the vocabulary file's pre-tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 62
-#: Bytes of a pretoken whose prefixes are remembered.
-SHORT = 64
+#: White space before a space: there a run of white space may go on, elsewhere a pretoken begins at each space.
+RUN = re.compile(r"\s ")
+BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +50,49 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+class Automaton:
+    """Reads letters one by one; the state stands for the longest suffix read that begins a piece.
+
+    ``ends[state]`` lists (length, value) of the pieces that end here, longest first: its own and those of its suffix link.
+    """
+
+    def __init__(self, pieces: dict[str, int]):
+        self.after: list[dict[str, int]] = [{}]
+        own: list[int | None] = [None]
+        depth = [0]
+        for piece, value in pieces.items():
+            node = 0
+            for c in piece:
+                if c not in self.after[node]:
+                    self.after[node][c] = len(self.after)
+                    self.after.append({})
+                    own.append(None)
+                    depth.append(depth[node] + 1)
+                node = self.after[node][c]
+            own[node] = value
+        self.suffix = [0] * len(self.after)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.after)
+        queue = list(self.after[0].values())
+        for node in queue:
+            self.ends[node] = (() if own[node] is None else ((depth[node], own[node]),)) + self.ends[self.suffix[node]]
+            for c, child in self.after[node].items():
+                at = self.suffix[node]
+                while at and c not in self.after[at]:
+                    at = self.suffix[at]
+                self.suffix[child] = self.after[at].get(c, 0)
+                queue.append(child)
+        self.known = [dict(x) for x in self.after]  # and the steps by suffix links that were taken
+
+    def step(self, node: int, c: str) -> int:
+        found = self.known[node].get(c)
+        if found is None:
+            at = node
+            while at and c not in self.after[at]:
+                at = self.suffix[at]
+            found = self.known[node][c] = self.after[at].get(c, 0)
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file. Remembers pretokens, at most ``most`` of them."""
 
@@ -75,15 +123,8 @@ class Codec:
                         break
                     gone, at = parts[at][2], parts[at][side]
                 self.edges[side][token] = chain_up[::-1]
-        # the automaton reads a text backwards from a position and passes, at "", every token that ends there;
         # a token that the merges can't make of its own bytes never ends a prefix
-        self.suffixes: dict = {}
-        for piece, i in ids.items():
-            if len(piece) == 1 or i in parts:
-                node = self.suffixes
-                for c in reversed(piece.decode("latin-1")):
-                    node = node.setdefault(c, {})
-                node[""] = i
+        self.automaton = Automaton({piece.decode("latin-1"): i for piece, i in ids.items() if len(piece) == 1 or i in parts})
         self.pattern = regex.compile(PATTERN)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces.update({i: content.encode() for content, i in added.items()})
@@ -91,7 +132,7 @@ class Codec:
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.compatible: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}  # of pieces between spaces
-        self.prefixes: dict[str, tuple[int, ...]] = {}  # of short pretokens, a letter for each byte
+        self.words: dict[str, tuple[int, ...]] = {}  # of short pretokens
         self.most = most
 
     def fits(self, left: int, right: int) -> bool:
@@ -119,55 +160,27 @@ class Codec:
             else:
                 j += 1
 
-    def ending(self, data: str, end: int) -> list[tuple[int, int]]:
-        """(start, token) of every token that ends at a position, shortest first; data has a letter for each byte."""
-        node, found, at = self.suffixes, [], end
-        while at:
-            at -= 1
-            node = node.get(data[at])
-            if node is None:
-                break
-            token = node.get("")
-            if token is not None:
-                found.append((at, token))
-        return found
-
     def pretoken(self, data: str) -> tuple[int, ...]:
-        """Ids of one pretoken of any length: the last token of every prefix, then the pointers back."""
+        """Ids of one pretoken of any length, a letter for each byte: the last token of every prefix, then the pointers back."""
         last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        for end in range(1, len(data) + 1):
-            for start, token in reversed(self.ending(data, end)):
-                if start == 0 or self.fits(last[start], token):
-                    last[end], size[end] = token, end - start
-                    break
+        step, ends, compatible = self.automaton.step, self.automaton.ends, self.compatible
+        state = 0
+        for end, c in enumerate(data, 1):
+            state = step(state, c)
+            for length, token in ends[state]:
+                before = last[end - length]
+                if length != end:
+                    fits = compatible.get(before << 20 | token)
+                    if not (self.fits(before, token) if fits is None else fits):
+                        continue
+                last[end], size[end] = token, length
+                break
         ids, at = [], len(data)
         while at:
             ids.append(last[at])
             at -= size[at]
         return tuple(ids[::-1])
 
-    def prefix(self, data: str) -> tuple[int, ...]:
-        """Ids of a short pretoken: the same recurrence, asked from the end; prefixes are remembered for all words."""
-        ids = self.prefixes.get(data)
-        if ids is not None:
-            return ids
-        compatible = self.compatible
-        for start, token in reversed(self.ending(data, len(data))):
-            if not start:
-                ids = (token,)
-                break
-            before = self.prefix(data[:start])
-            fits = compatible.get(before[-1] << 20 | token)
-            if fits is None:
-                fits = self.fits(before[-1], token)
-            if fits:
-                ids = before + (token,)
-                break
-        if len(self.prefixes) >= self.most:
-            self.prefixes.clear()
-        self.prefixes[data] = ids
-        return ids
-
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         # letters after at most one space are one pretoken, and so is a stop or comma behind them
         word = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
@@ -184,17 +197,22 @@ class Codec:
         return ids
 
     def _remembered(self, piece: str) -> tuple[int, ...]:
-        data = piece if piece.isascii() else piece.encode().decode("latin-1")
-        return self.prefix(data) if len(data) <= SHORT else self.pretoken(data)
+        ids = self.words.get(piece)
+        if ids is None:
+            ids = self.pretoken(piece if piece.isascii() else piece.encode("utf-8", "replace").decode("latin-1"))
+            if len(piece) <= 64:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[piece] = ids
+        return ids
 
     def _ordinary(self, text: str, ids: list[int]) -> None:
-        # Where single spaces part non-empty pieces, each " piece" splits alone as it does in the text.
         known = self.known
-        pieces = text.split(" ")
-        if "" in pieces:
-            pieces = self.pattern.findall(text)
+        if RUN.search(text):
+            pieces = BEFORE_SPACE.split(text)
         else:
-            pieces = [pieces[0], *[" " + x for x in pieces[1:]]]
+            pieces = text.split(" ")
+            pieces[1:] = [" " + x for x in pieces[1:]]
         for piece in pieces:
             found = known.get(piece)
             ids.extend(self._chunk(piece) if found is None else found)
