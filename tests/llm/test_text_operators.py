@@ -1,6 +1,7 @@
 """Encoding, rules, token files, personal data and language identification, mostly without Spark."""
 
 import io
+import itertools
 import random
 import re
 import zlib
@@ -185,7 +186,7 @@ def test_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     text, labels = pii.SpanMaker(5).text()
     classes = pii.classes_of(text)[:20][None]
-    gold, near = labels[:20].astype(np.int64)[None], pii.near_triggers(pii.classes_of(text))[:20][None]
+    gold, near = labels[:20].astype(np.int64)[None], pii.possible(text, pii.classes_of(text))[:20][None]
     if gold[0, 0] and gold[0, 0] % 2 == 0:
         gold[0, 0] = 0
     _, grad = net.gradients(classes, gold, near)
@@ -213,6 +214,31 @@ def test_model_on_held_out_texts(net):
     assert hit / found > 0.97 and hit / gold > 0.93
 
 
+def test_joined_scores_have_one_best_path():
+    """The decoder's labels are the best of all sequences between outside labels."""
+    net, r = pii.Network(hidden=2, embed=2), np.random.default_rng(3)
+    net.p["change"] = r.normal(size=(pii.LABELS, pii.LABELS)).astype(np.float32)
+    a = net.p["change"] + pii.ALLOWED
+    runs = [r.normal(size=(n, pii.LABELS)).astype(np.float32) for n in (1, 3, 4, 2, 4)]
+    for scores, got in zip(runs, net.decode(runs)):
+        paths = itertools.product(range(pii.LABELS), repeat=len(scores))
+        best = max(paths, key=lambda y: sum(scores[t, k] for t, k in enumerate(y)) + sum(a[p, q] for p, q in zip((0, *y), (*y, 0))))
+        assert tuple(got) == best
+
+
+def test_spans_lie_where_labels_are_allowed(net):
+    """No valid span of any length touches a forbidden character; scores are joined over many windows."""
+    name, digits = "n" * 500, "4" + " - " * 60 + "111 1111 1111 1111"
+    text = f"mail {name}@{'d' * 300}.com, 中文 4 111-1111 (1111) 1111 or {digits} é"
+    may = pii.possible(text, pii.classes_of(text))
+    for piece in (f"{name}@{'d' * 300}.com", "4 111-1111 (1111) 1111", digits):
+        at = text.index(piece)
+        assert may[at : at + len(piece)].all()
+    assert not may[:5].any() and not may[-1]
+    labels = pii.labels_of(net, [None, text, "", "no such thing", "x 7"])
+    assert labels[0] is None and labels[2] is None and labels[3] is None and len(labels[1]) == len(text) and not labels[1][~may].any()
+
+
 def test_windows_do_not_depend_on_place(net):
     """A long text's spans are those of its parts: overlapping windows are reconciled for the whole text."""
     part = "word and more words then jan.doe@mail.example.com went by. " + "filler text of no note " * 8

@@ -2,16 +2,19 @@
 
 The patterns give the base spans (email, ip, card, phone). A bidirectional LSTM over character
 classes, trained in numpy from labelled spans that a seeded generator writes, scores each character's
-label; transitions forbid a span's inside without its begin. Every kind holds a digit or an at sign,
-so the chain may use a span's labels only within ``REACH`` characters of one: everywhere else its
-only path is "outside", and windows without such a character need not be computed. Windows overlap by
-half; each character takes the labels of the window in whose middle it lies best, and spans are read
-from the labels of the whole text at once.
+labels; transitions forbid a span's inside without its begin. Windows overlap by half, and a character's scores
+come from the window in whose middle it lies best. The joined scores of the whole text are then decoded at once,
+so neighbouring windows can't contradict each other.
+
+An email lies in a run without white space that holds an at sign, and the other kinds in a run without letters that
+holds a digit. Outside these runs, of whatever length, "outside" is the only label allowed; so the chain falls
+apart exactly at their ends, each run is decoded on its own, and windows without one need not be computed.
 
 Spans of the model are added where no base span overlaps and the span can be of its kind (card: 16 to
 19 digits with a valid checksum, phone: 8 to 15 digits, ip: four parts up to 255, email: a name, an at
 sign and a dotted domain). Offsets are code points, ends exclusive. Null and empty texts have no
-spans; texts are read whole.
+spans; texts of any length are read whole. Equal rows get equal spans, an empty table gives an empty one. ``find`` replaces columns
+of df named as those it adds; all others pass through.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ ASCII[48:58] = np.arange(6, 16)
 for _i, _c in enumerate(SYMBOLS):
     ASCII[ord(_c)] = 16 + _i
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-WIDTH, STRIDE, REACH = 64, 32, 24
+WIDTH, STRIDE = 64, 32
 FORBIDDEN = -1e4
 
 
@@ -225,32 +228,55 @@ class Network:
         np.add.at(grad["e"], classes.T.ravel(), d_x.reshape(-1, x.shape[2]))
         return loss, grad
 
-    def decode(self, classes: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Viterbi labels (rows, width) of windows."""
-        e = self.scores(classes)
-        e[:, :, 1:] += np.where(near, 0, FORBIDDEN)[:, :, None]
+    def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi labels of runs of scores (length, LABELS), of any lengths, each between outside labels."""
         a = self.p["change"] + ALLOWED
-        rows, width = classes.shape
-        back = np.zeros((width, rows, LABELS), np.int8)
-        s = e[:, 0].copy()
-        for t in range(1, width):  # a window may begin inside a span
-            ways = s[:, :, None] + a
-            back[t] = ways.argmax(axis=1)
-            s = np.take_along_axis(ways, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[:, t]
-        labels = np.zeros((rows, width), np.int8)
-        labels[:, -1] = s.argmax(axis=1)
-        for t in range(width - 1, 0, -1):
-            labels[:, t - 1] = back[t][np.arange(rows), labels[:, t]]
-        return labels
-
-
-def near_triggers(classes: np.ndarray) -> np.ndarray:
-    """Whether a digit or at sign lies within REACH characters."""
-    hit = ((classes >= 6) & (classes <= 16)).astype(np.int32)
+        order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+        found: list[np.ndarray] = [np.empty(0, np.int8)] * len(runs)
+        for at in range(0, len(order), 2048):  # runs of like length together
+            some = [runs[i] for i in order[at : at + 2048]]
+            sizes = np.array([len(x) for x in some])
+            active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")  # how many runs have a t-th character
+            s = np.array([x[0] for x in some]) + a[0]
+            final, back = s.copy(), []
+            for t in range(1, sizes[0]):
+                n = active[t]
+                ways = s[:n, :, None] + a
+                back.append(ways.argmax(axis=1).astype(np.int8))
+                s = ways.max(axis=1) + np.array([x[t] for x in some[:n]])
+                final[:n] = s
+            last = (final + a[:, 0]).argmax(axis=1)
+            labels = [np.zeros(n, np.int8) for n in sizes]
+            for i, n in enumerate(sizes):
+                labels[i][n - 1] = last[i]
+                for t in range(n - 1, 0, -1):
+                    labels[i][t - 1] = back[t - 1][i, labels[i][t]]
+            for i, y in zip(order[at : at + 2048], labels):
+                found[i] = y
+        return found
+
+
+def _runs(edges: np.ndarray, hits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs between ``edges`` (ascending places) that hold one of ``hits``."""
+    k = np.unique(np.searchsorted(edges, hits))
+    bounds = np.concatenate(([-1], edges, [n]))
+    return bounds[k] + 1, bounds[k + 1]
+
+
+def possible(text: str, classes: np.ndarray) -> np.ndarray:
+    """Where a span may lie: runs without white space around an at sign, and runs without letters around a digit."""
+    letter = (classes == 2) | (classes == 3)
+    high = np.flatnonzero((classes == 4) | (classes == 1))
+    if len(high):
+        is_letter = {c: c.isalpha() for c in set(text) if c > "\x7f"}
+        if any(is_letter.values()):
+            letter[high] = [is_letter.get(text[i], False) for i in high.tolist()]
+    space = (classes == 5) | (classes == 16 + SYMBOLS.index(" ")) | (classes == 16 + SYMBOLS.index("\n"))
     edge = np.zeros(len(classes) + 1, np.int32)
-    at = np.flatnonzero(hit)
-    np.add.at(edge, np.maximum(0, at - REACH), 1)
-    np.add.at(edge, np.minimum(len(classes), at + REACH + 1), -1)
+    for edges, hits in ((space, classes == 16), (letter, (classes >= 6) & (classes <= 15))):
+        starts, ends = _runs(np.flatnonzero(edges), np.flatnonzero(hits), len(classes))
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, ends, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -324,8 +350,8 @@ def train(n_texts: int = 1200, steps: int = 200, rows: int = 96, rate: float = 0
     windows, golds, nears = [], [], []
     for _ in range(n_texts):
         text, labels = maker.text()
-        classes, near = classes_of(text), None
-        near = near_triggers(classes)
+        classes = classes_of(text)
+        near = possible(text, classes)
         # a window's first label may not be an inside, so training windows begin at outside or begin labels
         for at in (0, WIDTH, 2 * WIDTH):
             while at and labels[at] and labels[at] % 2 == 0:
@@ -354,45 +380,44 @@ def train(n_texts: int = 1200, steps: int = 200, rows: int = 96, rate: float = 0
 
 
 def labels_of(net: Network, texts: list[str | None], rows: int = 1024) -> list[np.ndarray | None]:
-    """Labels of every character of each text (None: all outside), windows of many texts batched."""
+    """Labels of every character of each text (None: all outside); windows and runs of many texts are batched."""
     out: list[np.ndarray | None] = [None] * len(texts)
     jobs: list[tuple[int, int]] = []
     ready: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    lo, hi = (WIDTH - STRIDE) // 2, (WIDTH + STRIDE) // 2
 
     def flush() -> None:
-        if not jobs:
-            return
-        classes = np.stack([ready[i][0][at : at + WIDTH] for i, at in jobs])
-        near = np.stack([ready[i][1][at : at + WIDTH] for i, at in jobs])
-        labels = net.decode(classes, near)
-        for (i, at), row in zip(jobs, labels):
-            # a window answers for its middle; at the ends of an active stretch nothing else covers the rest
-            known = ready[i][2]
-            lo, hi = (WIDTH - STRIDE) // 2, (WIDTH + STRIDE) // 2
-            known[at + lo : at + hi] = row[lo:hi]
+        for at in range(0, len(jobs), rows):
+            some = jobs[at : at + rows]
+            scores = net.scores(np.stack([ready[i][0][k : k + WIDTH] for i, k in some]))
+            for (i, k), row in zip(some, scores):
+                ready[i][2][k + lo : k + hi] = row[lo:hi]  # a window answers for its middle
         jobs.clear()
+        where, runs = [], []
+        for i, (_, may, scores) in ready.items():
+            edge = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                where.append((i, a, b))
+                runs.append(scores[a:b])
+            out[i] = np.zeros(len(texts[i]), np.int8)
+        for (i, a, b), y in zip(where, net.decode(runs)):
+            out[i][a - WIDTH : b - WIDTH] = y
+        ready.clear()
 
     for i, text in enumerate(texts):
         if not text or not ("@" in text or DIGIT.search(text)):
             continue
-        pad = WIDTH
-        classes = np.concatenate((np.zeros(pad, np.uint8), classes_of(text), np.zeros(2 * pad, np.uint8)))
-        near = near_triggers(classes)
-        near[: pad] = near[pad + len(text) :] = False
-        ready[i] = (classes, near, np.zeros(len(classes), np.int8))
-        active = np.add.reduceat(near, np.arange(0, len(near) - len(near) % STRIDE, STRIDE)) > 0
+        own = classes_of(text)
+        classes = np.concatenate((np.zeros(WIDTH, np.uint8), own, np.zeros(2 * WIDTH, np.uint8)))
+        may = np.zeros(len(classes), bool)
+        may[WIDTH : WIDTH + len(own)] = possible(text, own)
+        ready[i] = (classes, may, np.zeros((len(classes), LABELS), np.float32))
+        whole = len(may) // STRIDE * STRIDE
         # stretch k is the middle of the window that begins half a stride before it
-        for k in np.flatnonzero(active):
-            at = int(k) * STRIDE - (WIDTH - STRIDE) // 2
-            if 0 <= at and at + WIDTH <= len(classes):
-                jobs.append((i, at))
+        jobs += [(i, int(k) * STRIDE - lo) for k in np.flatnonzero(may[:whole].reshape(-1, STRIDE).any(axis=1))]
         if len(jobs) >= rows:
             flush()
-            for k in [k for k in ready if k != i]:
-                out[k] = ready.pop(k)[2][pad : pad + len(texts[k])]
     flush()
-    for k in list(ready):
-        out[k] = ready.pop(k)[2][WIDTH : WIDTH + len(texts[k])]
     return out
 
 
