@@ -335,6 +335,22 @@ def test_page_columns(spark, chain):
     assert (got[0]["text"], got[0]["n_chars"], got[1]["text"], got[1]["n_chars"]) == ("One, two and three four.", 24, "", 0)
 
 
+def test_what_an_article_holds_stays(chain):
+    """Its author's line, captions, credits and formulas are main text; the page's own are not."""
+    say = "Some words of an article, which go on for a while and end here."
+    html = f'<nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p class="byline">By Jo Doe</p><p>{say}</p><figure><img src=x><figcaption>A view</figcaption></figure><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><g><text>so</text></g></svg> <object>on</object>. {say}</p><div class="credit">Photo: Ann</div><p>{say}</p></article><div class="sidebar"><p>{say}</p></div><footer>&copy; me</footer>'
+    assert chain.main_text(html).split("\n") == ["Title of it", "By Jo Doe", say, "A view", f"Let x = 1 and so on. {say}", "Photo: Ann", say]
+    inside = "<div>" * 300 + f"<p>{say}</p>" + "</div>" * 300
+    assert chain.main_text(f"<article>{inside}</article><aside>{inside}</aside>") == say
+
+
+def test_pages_that_repeat(spark, chain):
+    df = spark.createDataFrame([(1, "u", "<article><p>One, two and three four.</p></article>")] * 3 + [(2, None, "<p>" + "word, and more. " * 200_000)], "page_id long, url string, html string")
+    got = htmltext.extract(df, chain).orderBy("page_id").collect()
+    assert len(got) == 4 and len({tuple(g) for g in got[:3]}) == 1 and got[3]["n_chars"] == len("word, and more. ") * 200_000 - 1
+    assert htmltext.extract(df.limit(0), chain).count() == 0
+
+
 def test_a_telling_word_counts_at_any_place():
     utility = " ".join(f"u{chr(97 + i)}" for i in range(20))
     path = htmltext.blocks_of(f'<div class="{utility} sidebar">x</div>')[0].path
@@ -354,7 +370,7 @@ def test_depth_has_no_limit():
 @pytest.mark.parametrize("tag", ["<svg/>", '<svg class="icon" />', "<math/>", "<svg>", "<noscript>", "<iframe src=/a/>", "<noscript>" * 100_000])
 def test_tags_without_an_end_hide_nothing(tag):
     assert [b.text for b in htmltext.blocks_of(f"<p>one</p>{tag}<article><p>two</p></article>")] == ["one", "two"]
-    assert [b.text for b in htmltext.blocks_of("<p>one</p><svg /><p>two</p><svg href=/a/><text>no</text></svg><p>three</p><script>var x")] == ["one", "two", "three"]
+    assert [b.text for b in htmltext.blocks_of("<p>one</p><svg /><p>two</p><svg href=/a/><text>own</text></svg><p>three</p><script>var x")] == ["one", "two", "own", "three"]
 
 
 # --- the pipeline --------------------------------------------------------------------------------

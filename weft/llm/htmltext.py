@@ -5,10 +5,12 @@ the tags and class or id words of all its ancestors come to. Every block has bin
 text and its links; a two-label chain (main text or not) is trained on labelled pages and decoded by
 Viterbi. The labelled pages are made here by a seeded generator of page layouts.
 
-Scripts, styles, comments and markup never become text. Character references are decoded, white space
+Scripts, styles, comments and markup never become text; text in svg, math, object and noscript is text like any other. What an
+article holds is its own: headings in a header of its own, the author's line, captions, credits and tags stay. Character references are decoded, white space
 in a block becomes one space, blocks are joined by a newline. A null or empty page has an empty text;
 unclosed and cut-off markup is tolerated: an open tag ends with the page, but only an open script or
-style hides what follows it. Pages are read whole.
+style hides what follows it. Pages of any length are read whole; equal rows get equal texts, an empty table an empty result. Columns
+named in ``keep`` must not be named as those it adds.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from .common import small_batches, table
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 VALUES = re.compile(r"""\b(?:class|id|role|style|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+|:none")
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math"}
+#: Their content is no text of the page.
+RAW = {"script", "style", "template", "textarea", "iframe"}
 #: Without a closing tag, these hold the rest of the page; of the others only the tag itself is skipped.
 TO_THE_END = {"script", "style"}
+#: The text in these is part of the block around them, whatever their tags, up to their end or the next tag of HTML's own.
 FOREIGN = {"svg", "math"}
 #: An attribute value without quotes that takes the slash at the tag's end.
 OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]*/$""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp noscript object small span strike strong sub sup time tt u var wbr br".split())
 #: A start tag on the left closes the nearest open one on the right, unless one of SCOPE stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "nav", "aside", "body", "select"}
@@ -60,6 +64,7 @@ def blocks_of(html: str | None) -> list[Block]:
     parts: list[str] = []
     unclosed: set[str] = set()
     state = [0, 0]  # letters inside links so far in this block, open links
+    foreign = 0  # open tags of FOREIGN
 
     def text(piece: str) -> None:
         if piece:
@@ -102,10 +107,21 @@ def blocks_of(html: str | None) -> list[Block]:
             elif tag == "a":
                 state[1] = 0 if closing else 1
             continue
-        if tag in RAW:
+        if tag in FOREIGN:
             attributes = m[3] or m[6] or ""
-            empty = tag in FOREIGN and attributes.endswith("/") and not OPEN_VALUE.search(attributes)
-            if not closing and not empty:
+            if closing:
+                foreign = max(0, foreign - 1)
+            elif not (attributes.endswith("/") and not OPEN_VALUE.search(attributes)):
+                foreign += 1
+            text(" ")
+            continue
+        if foreign and tag not in RAW:
+            if tag not in OF_HTML:
+                text(" ")
+                continue
+            foreign = 0
+        if tag in RAW:
+            if not closing:
                 close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 if close:
                     at = close.end()
@@ -160,6 +176,9 @@ for _meaning, _words in MEANINGS.items():
 TAGS = "head title body header nav main article section aside footer form fieldset div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption button select option legend details summary address menu dialog center".split()
 
 
+#: Start tags that end what is open of FOREIGN.
+OF_HTML = {*TAGS} - {"title"}
+
 #: What the ancestors of a block come to: features of their tags and meanings, the innermost named region, the leaf's tag.
 Path = tuple[frozenset, str, str]
 ROOT: Path = (frozenset(), "none", "none")
@@ -343,10 +362,19 @@ class PageMaker:
                 out.append(f"<p>{self.put(body, label)}" + self.r.choice(("</p>", "</p>", "</p>", "")))
         return "".join(out)
 
-    def aside_part(self) -> str:
-        """Any part of a page that isn't its main text."""
+    def article_part(self) -> str:
+        """What an article has besides its paragraphs: the author's line, captions, credits, tags."""
+        r, put = self.r, self.put
+        words = put(self.words(1, 8), 1)
+        if r.random() < 0.25:
+            return f"<figure><img src=x><figcaption>{words}</figcaption></figure>"
+        tag = r.choice(("p", "div", "p", "address", "footer" if r.random() < 0.1 else "p"))
+        return f"<{tag} {self.name('meta')}>{words}</{tag}>"
+
+    def aside_part(self, inside: bool = False) -> str:
+        """Any part of a page that isn't its main text; inside: one that can stand in an article."""
         r, put = self.r, self.put
-        kind = r.randrange(11)
+        kind = r.choice([k for k in range(11) if k != 8 or not inside])
         if kind == 0:
             return r.choice(("<nav>{}</nav>", f"<div {self.name('menu')}>{{}}</div>")).format(self.links())
         if kind == 1:
@@ -385,12 +413,18 @@ class PageMaker:
         start, close = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), (f"<div {self.name('main')}>", "</div>"), (f"<section {self.name('main')}>", "</section>"), ("<main><article>", "</article></main>"), ("<table><tr><td>", "</td></tr></table>"), ("<div>", "</div>"), ("", "")))
         out.append(start)
         if r.random() < 0.85:
-            out.append(f"<h1>{put(self.words(2, 12), 1)}</h1>")
+            title = f"<h1>{put(self.words(2, 12), 1)}</h1>"
+            named = start not in ("", "<div>") and not start.startswith("<table")
+            if named and r.random() < 0.3:
+                title += self.article_part()
+            out.append(f"<header>{title}</header>" if named and r.random() < 0.1 else title)
         n = r.choice((0, 1, 2, 3, 6, 12))
         for _ in range(n):
             out.append(self.paragraphs(1, 1))
             if r.random() < 0.08:
-                out.append(self.aside_part())
+                out.append(self.aside_part(inside=True))
+            if start not in ("", "<div>") and not start.startswith("<table") and r.random() < 0.1:
+                out.append(self.article_part())
         out.append(close)
         out += [self.aside_part() for _ in range(r.randint(0, 3))]
         if r.random() < 0.8:
