@@ -108,6 +108,15 @@ def test_quality_ledger(spark):
     assert quality.ledger(df.limit(0)).count() == 0
 
 
+def test_ledger_edges(spark):
+    text = "a few words of it. " * 50_000
+    df = spark.createDataFrame([(1, text, "u"), (None, "x", "v")], "doc_id long, text string, source string")
+    rows = {r["source"]: r for r in quality.ledger(df, keep=("source",)).collect()}
+    assert rows["u"]["n_words"] == 250_000 and rows["u"]["n_repeat_words"] == 250_000 and rows["v"]["doc_id"] is None
+    with pytest.raises(ValueError):
+        quality.ledger(df.withColumnRenamed("source", "n_words"), keep=("n_words",))
+
+
 def test_frames():
     r = np.random.default_rng(3)
     docs = [r.integers(0, 2**32, n, dtype=np.uint32) for n in (0, 1, 50, 3000, 0, 7, 1000)]
@@ -142,6 +151,24 @@ def test_word_encoder_equals_the_library():
     assert all(list(a) == e.ids for a, e in zip(got, library.encode_batch(texts, add_special_tokens=False)))
 
 
+def test_token_files_end_to_end(spark, tmp_path):
+    """The query's rows are those of the library's own ids, in ascending order of ids, a very long text and equal rows included."""
+    rows = [(7, "One two, THREE"), (3, None), (5, "lorem  ipsum\tdolor\n" * 30_000), (4, "x y"), (4, "x y"), (9, ""), (1, "日本 é <|endoftext|> z")]
+    spark.createDataFrame([(*x, "s", i) for i, x in enumerate(rows)], "doc_id long, text string, file string, place int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, tokenfile.op3_tokenfile(spark, str(tmp_path)).collect()))
+    library, want, at = tokenizers.Tokenizer.from_file(tokenfile.vocabulary_path()), [], 0
+    for key, text in sorted(rows, key=lambda x: (x[0], x[1] or "")):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        want.append((key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == sorted(want)
+
+
+def test_only_vocabularies_that_drop_white_space():
+    with pytest.raises(ValueError):
+        tokenfile.WordEncoder(bpe.vocabulary_path())
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(["b a", None, "", "c " * 500, "b a", "日本"])] + [(3, "again"), (None, "none")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -275,15 +302,42 @@ def test_language_accuracy():
 
 
 def test_folded_scores_are_kernel_scores():
-    """The folded matrix gives what the explicit kernel expansion gives."""
+    """The model's values are those of weighted kernel ridge regression over sets of n-grams, solved apart from it."""
     r = random.Random(5)
-    texts = [invented(x, r, 20) for x in ("aa", "bb") for _ in range(6)]
-    model = langid.fit(texts, ["aa"] * 6 + ["bb"] * 6)
-    new = invented("aa", r, 30)
-    one = model.scores([new])[0]
-    b = langid.bins_of(new)
-    assert np.allclose(one, model.weights[b].sum(axis=0) / np.sqrt(len(b)) + model.bias, atol=1e-5)
-    assert np.allclose(model.scores([new, texts[0]])[0], one)
+    texts = [invented(x, r, 20) for x in ("aa", "bb", "cc") for _ in range(6)][:-2]
+    langs = ["aa"] * 6 + ["bb"] * 6 + ["cc"] * 4
+    new = [invented(x, r, 15) for x in ("aa", "cc", "bb")] + [texts[0]]
+    sets = [set(langid.bins_of(t).tolist()) for t in texts + new]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    n = len(texts)
+    values, vectors = np.linalg.eigh(kernel[:n, :n])  # every text is a landmark
+    kept = values > 1e-6 * values.max()
+    features = kernel[:, :n] @ (vectors[:, kept] / np.sqrt(values[kept]))
+    weight = np.array([n / (3 * langs.count(x)) for x in langs])
+    want = []
+    for name in ("aa", "bb", "cc"):
+        # least squares with an own column for the bias, which is not shrunk
+        a = np.hstack((features[:n], np.ones((n, 1)))) * np.sqrt(weight)[:, None]
+        shrink = np.hstack((np.sqrt(langid.RIDGE) * np.eye(features.shape[1]), np.zeros((features.shape[1], 1))))
+        y = np.concatenate((np.array([x == name for x in langs]) * np.sqrt(weight), np.zeros(features.shape[1])))
+        solved = np.linalg.lstsq(np.vstack((a, shrink)), y, rcond=None)[0]
+        want.append(features[n:] @ solved[:-1] + solved[-1])
+    model = langid.fit(texts, langs)
+    assert np.allclose(model.scores(new), np.array(want).T, atol=2e-3)
+    assert np.allclose(model.scores(new, block=2), model.scores(new), atol=1e-5)
+
+
+def test_held_out_rows_teach_nothing(spark, tmp_path):
+    """The query's rule: rows whose crc32 of the id leaves 2 are predicted only, so their labels may be anything."""
+    r = random.Random(6)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(80)]
+    rows = [(i, invented(x, r, 25), "zz" if held[i] else x, "s") for i, x in enumerate(["aa", "bb"] * 40)] + [(80, "word " * 100_000, None, "s"), (None, None, "aa", "s"), (0, "same id", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = langid.op5_langid(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(g["held_out"] == held[g["doc_id"]] for g in got if g["doc_id"] is not None and g["doc_id"] < 80)
+    assert all(g["lang_pred"] == ("aa", "bb")[g["doc_id"] % 2] for g in got if g["doc_id"] and g["doc_id"] < 80)
+    with pytest.raises(ValueError):
+        langid.predict(spark.createDataFrame(rows, "doc_id long, text string, score string, source string"), None, keep=("score",))
 
 
 def test_language_columns(spark):

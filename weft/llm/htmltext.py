@@ -10,7 +10,7 @@ article holds is its own: headings in a header of its own, the author's line, ca
 in a block becomes one space, blocks are joined by a newline. A null or empty page has an empty text;
 unclosed and cut-off markup is tolerated: an open tag ends with the page, but only an open script or
 style hides what follows it. Pages of any length are read whole; equal rows get equal texts, an empty table an empty result. Columns
-named in ``keep`` must not be named as those it adds.
+named in ``keep`` must not be named as those it adds (ValueError).
 """
 
 from __future__ import annotations
@@ -445,6 +445,8 @@ def trained(n_pages: int = 500, seed: int = 7) -> Chain:
 
 def extract(df: DataFrame, chain: Chain, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Rows (keep..., text string, n_chars long) for every row of df."""
+    if clash := {*keep} & {"text", "n_chars"}:
+        raise ValueError(f"columns named as the result's own: {sorted(clash)}")
     weights, change = chain.weights, np.array(chain.change)  # a few hundred numbers, sent with the function
 
     def run(batches):

@@ -4,14 +4,15 @@ Two texts' kernel is the number of character n-grams (all lengths of ``SPECTRUM`
 hold, divided by the root of the product of their numbers of n-grams. Nyström landmarks drawn from
 the training sample give each text a vector; one-versus-rest kernel ridge regression is fitted on
 those vectors. As the kernel is linear in the presence vector, landmarks, whitening and regression
-fold into one matrix (n-gram bins x languages), so a batch is scored by one gather and segmented sum,
-which is the product of its sparse presence matrix with that matrix. With more languages than
+fold into one matrix (n-gram bins x languages), and a block of texts is scored by the product of its presence
+matrix with that matrix. With more languages than
 landmarks the matrix stays two factors, (bins x landmarks) and (landmarks x languages).
 
 The classifier is fitted on every label value, on a bounded sample of its rows (``SAMPLE`` per language and ``SAMPLE_ALL`` in
 all, but two of each language at least, by hash order of the id, so it doesn't depend on partitions); prediction reads whole texts. A text that is
-null or has no letter is ``und`` with score 0. Repeated rows get equal predictions. With no labelled
-row at all, every text is ``und``.
+null or has no letter is ``und`` with score 0. Repeated rows get equal predictions, an empty table gives an empty one; equal scores
+go to the first label in order. Texts of any length are read whole. With no labelled
+row at all, every text is ``und``. Columns to keep must not be named ``lang_pred`` or ``score`` (ValueError).
 """
 
 from __future__ import annotations
@@ -53,15 +54,17 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, right: np.ndarray | None = None):
         self.languages, self.weights, self.bias, self.right = languages, weights, bias, right
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Rows of decision values, one batched product for all texts."""
-        bins = [bins_of(t) for t in texts]
-        sizes = np.array([max(1, len(b)) for b in bins])
+    def scores(self, texts: list[str], block: int = 64) -> np.ndarray:
+        """Rows of decision values: products of the presence matrices of ``block`` texts with the model's."""
         out = np.zeros((len(texts), self.weights.shape[1]), np.float32)
-        for i, b in enumerate(bins):
-            if len(b):
-                out[i] = self.weights[b].sum(axis=0)
-        out = out / np.sqrt(sizes)[:, None]
+        present = np.zeros((min(block, len(texts)), BINS), np.float32)
+        for at in range(0, len(texts), block):
+            bins = [bins_of(t) for t in texts[at : at + block]]
+            where = np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.concatenate(bins)
+            present[where] = 1
+            out[at : at + block] = present[: len(bins)] @ self.weights
+            present[where] = 0
+            out[at : at + block] /= np.sqrt([[max(1, len(b))] for b in bins])
         return (out if self.right is None else out @ self.right) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -136,6 +139,8 @@ def sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], li
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keep..., lang_pred string, score double) for every row of df."""
     spark = df.sparkSession
+    if clash := {*keep} & {"lang_pred", "score"}:
+        raise ValueError(f"columns named as the prediction's own: {sorted(clash)}")
     shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias, model.right))  # BINS x 256 at most, and 256 floats a language
 
     def run(batches):

@@ -5,7 +5,8 @@ failed rule; policies are versioned masks over those bits, applied later without
 again, and ablations are bitwise aggregates over the ledger.
 
 Words are runs of anything but ASCII white space. A null text has no words and fails ``few_words``;
-so does an empty one. Repeated documents get equal rows. Texts are measured whole.
+so does an empty one. Repeated documents get equal rows, an empty table gives an empty ledger. Texts of any length are measured
+whole. Columns to keep must not be named as the ledger's own (ValueError); all others are not read.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ _HASHES = WordHashes()
 def ledger(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, measurements, fail_bits long), plus the columns ``keep`` of df."""
     kept = [key, *keep]
+    if clash := {*kept} & {*MEASURES, "fail_bits"}:
+        raise ValueError(f"columns named as the ledger's own: {sorted(clash)}")
 
     def run(batches):
         for batch in batches:
@@ -135,3 +138,33 @@ def op2_quality(spark, sf_dir):
 
 
 QUERIES = {"op2_quality": op2_quality}
+
+#: Windows are numbered by their first word, from 1.
+ORACLE_SQL = {
+    "op2_quality": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n
+  FROM (SELECT rid, i, array_to_string(words[i:i+7], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM docs))
+), repeated AS (
+  SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS j FROM windows WHERE n > 1) GROUP BY rid
+), measured AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper, len(list_filter(words, lambda x: x LIKE '%!!')) AS n_shout,
+    coalesce(list_max(map_values(list_aggregate(words, 'histogram'))), 0) AS top_word, len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutter
+  FROM docs LEFT JOIN repeated USING (rid)
+), judged AS (
+  SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (2 * n_upper > n_words)::BIGINT + 16 * (10 * n_shout > 3 * n_words)::BIGINT + 32 * (n_words >= 20 AND 100 * top_word > 25 * n_words)::BIGINT
+    + 64 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 128 * (n_words >= 20 AND 100 * n_stutter > 30 * n_words)::BIGINT
+    + 256 * (n_words > 0 AND NOT word_chars BETWEEN 2 * n_words AND 25 * n_words)::BIGINT AS fail_bits
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM judged
+""",
+}

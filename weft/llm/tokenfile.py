@@ -9,7 +9,9 @@ footer, the index and then only the frames that hold the documents asked for.
 Documents are dealt to files by ranges of (doc_id, text hash, text), so equal ids are ordered by text and a
 file never holds all of them; a null text is an empty one, a null doc_id comes first. Each task
 writes a file of its own name, and only files that a finished task reported are listed in the
-manifest, so a lost executor or a second attempt leaves no wrong document behind.
+manifest, so a lost executor or a second attempt leaves no wrong document behind. A text of any length is encoded whole and may
+span frames; an empty table writes no file. Columns but key and text are not read; the key must not be named as a column
+of the results (ValueError).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, shuffle_parts, small_batches, table, written
+from .common import fresh_path, shuffle_parts, table, written
 
 MAGIC = b"WFTSEEK1"
 SKIPPABLE = 0x184D2A50
@@ -149,6 +151,11 @@ class WordEncoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        sample = [w for w in self.library.get_vocab(with_added_tokens=False) if w.isalpha()][:50]
+        blanks = "".join(f" {a}\t{b}\n\n {a}" for a, b in zip(sample, sample[1:]))
+        pieces = [i for w in blanks.split() for i in self.library.encode(w, add_special_tokens=False).ids]
+        if self.library.encode(blanks, add_special_tokens=False).ids != pieces:
+            raise ValueError("this vocabulary doesn't drop white space")
         parting = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.special = tuple(content.encode() for _, content in parting)
         self.parting = max(parting, default=None)
@@ -221,7 +228,8 @@ def write_files(df: DataFrame, folder: str, path: str | None = None, key: str =
     """
     path = path or vocabulary_path()
     spark = df.sparkSession
-    small_batches(spark)
+    if key in ("file_no", "place", "file", "n_tokens", "ids_crc32", "start", "ids"):
+        raise ValueError(f"a key named as a column of the manifest or of what is read back: {key}")
     files = files or shuffle_parts(spark)
     schema = T.StructType([T.StructField("file_no", T.IntegerType()), T.StructField("place", T.LongType()), df.schema[key], T.StructField("file", T.StringType())])
 
