@@ -139,6 +139,31 @@ def test_groups(spark, words, num):
     assert [got[i]["n_shingles"] for i in range(len(docs))] == [len(s) for s in sets]
 
 
+def test_components(spark):
+    """A long chain in no order, stars, pairs, self links and nulls; then more links between them."""
+    from weft.llm.common import Scratch, components, merged
+
+    r = random.Random(1)
+    names = r.sample(range(-(10**6), 10**6), 400)
+    links = [*zip(names[:150], names[1:150]), *[(names[150], x) for x in names[151:250]], *zip(names[250:300:2], names[251:300:2]), (names[301], names[301]), (None, names[302])]
+    more = [(names[3], names[160]), (names[250], names[320]), (names[330], names[331]), (names[5], names[6])]
+
+    def brute(links):
+        label = {x: x for a, b in links if None not in (a, b) and a != b for x in (a, b)}
+        for _ in range(len(label)):
+            for a, b in links:
+                if a in label and b in label:
+                    label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    schema = "a long, b long"
+    found = components(spark.createDataFrame(links, schema))
+    assert {g["node"]: g["label"] for g in found.collect()} == brute(links)
+    grown = merged(found, spark.createDataFrame(more, schema), Scratch(spark, "merged"))
+    assert sorted((g["node"], g["label"]) for g in grown.collect()) == sorted(brute(links + more).items())
+    assert components(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_all_links(spark):
     docs = near_copies(random.Random(8), 8, 5)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
@@ -413,3 +438,68 @@ def test_pipeline(spark):
     assert set(range(12)) <= set(seen["near_duplicates"])
     assert "<EMAIL>" in seen["personal_data"][24]["text"]
     assert set(seen["length_buckets"]) == set(seen["personal_data"])
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on all that its predecessor kept, with repeated rows, null ids and columns named as the operators' own."""
+    import corpus_pipeline as pipeline
+    from weft.llm import pii, quality, tokenfile
+    from weft.llm.common import WordHashes
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(4, 30))) for _ in range(60)]
+    docs = [(i, "\n".join(r.choice(lines) if r.random() < 0.3 else " ".join(r.choices(words, k=r.randint(3, 25))) for _ in range(r.randint(1, 12)))) for i in range(90)]
+    docs += [(100 + i, " ".join(w if r.random() > 0.01 else "changed" for w in t.split(" "))) for i, t in docs[:40]]
+    docs += [(200, docs[3][1]), (201, "mail a.b@c.example.com or +1 (555) 010-2030, " + docs[5][1]), (202, None), (203, ""), (204, "up UP UP! " * 30), (205, "bad % $ " * 40)]
+    names = ["_row", "row", "_k", "_h", "h", "n_deleted", "n_email", "spans", "fail_bits"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, -1, *[f"{n}{i}" for n in names]) for i, t in docs + docs[:3]]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+
+    seen, now = {}, df
+    for name, stage in pipeline.STAGES:
+        now = stage(spark, now, None)
+        now = spark.createDataFrame(now.collect(), now.schema)
+        seen[name] = sorted(now.collect(), key=lambda g: g["doc_id"])
+        assert name == "length_buckets" or now.columns == df.columns and all(g[n] == f"{n}{g['doc_id']}" for g in seen[name] for n in names)
+    text = lambda name: [(g["doc_id"], g["text"]) for g in seen[name]]
+
+    passed = [(i, t) for i, t in sorted(docs + docs[:3], key=lambda x: x[0]) if not quality.failed_bits(quality.measure(t, WordHashes()))]
+    assert text("quality_rules") == passed and 0 < len(passed) < len(docs)
+    once = sorted(set(passed))
+    left = [(i, new) for (i, old), new in zip(once, brute_maximal(once, 50)) if new == old or new]
+    assert sorted(set(text("line_dedup"))) == left and left != once
+    labels = brute_groups([t for _, t in left], 5, 80, 100)[0]
+    assert text("near_duplicates") == [x for k, x in enumerate(left) if labels[k] == k] and len(set(labels)) < len(left)
+    found = dict(text("personal_data"))
+    for i, t in text("near_duplicates"):
+        base = pii.base_spans(t)
+        assert found[i] == t if not base else all(t[a:b] not in found[i] and f"<{kind.upper()}>" in found[i] for kind, a, b in base)
+    encoder = tokenfile.WordEncoder(tokenfile.vocabulary_path())
+    sizes = {i: len(encoder.encode_batch([t])[0]) for i, t in found.items()}
+    assert {g["doc_id"]: g["n_tokens"] for g in seen["length_buckets"]} == sizes
+    bounds = sorted({g["padded_to"] for g in seen["length_buckets"]})
+    assert all(g["padded_to"] == min(b for b in bounds if b >= g["n_tokens"]) for g in seen["length_buckets"])
+
+    now = df.limit(0)
+    for name, stage in pipeline.STAGES:
+        now = stage(spark, now, None)
+        assert now.count() == 0
+        now = now if name == "length_buckets" else spark.createDataFrame([], df.schema)
+
+
+def test_packing_without_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "p"), (2, None, "q")], "doc_id long, text string, n_tokens string")
+    assert sorted((g["doc_id"], g["n_tokens"]) for g in packing.token_lengths(df).collect()) == [(1, 2), (2, 0)]
+    assert packing.token_lengths(df.limit(0)).count() == 0 and packing.pack(packing.token_lengths(df.limit(0))).count() == 0
+
+
+def test_join_edges(spark):
+    """No rows, equal rows, a null id, a very long text, and columns of other operators' names."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(4, long, "a"), (2, long + " end", "b"), (None, long, "c"), (7, "own words here", "d"), (7, "own words here", "d"), (7, "other words there", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = sorted(((g["doc_id"], g["n_shingles"], g["component_id"]) for g in jaccard.groups(df, 3, 90, 100).collect()), key=str)
+    assert got == sorted([(4, 119_998, 2), (2, 119_999, 2), (None, 119_998, 2), (7, 1, 7), (7, 1, 7), (7, 1, 7)], key=str)
+    assert jaccard.groups(df.limit(0)).count() == 0

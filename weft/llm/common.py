@@ -147,26 +147,45 @@ def runs_hash(words: np.ndarray, length: int) -> np.ndarray:
 def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """Connected components of links between longs: rows (node, label), label the smallest node reached.
 
-    Each round lowers every label to the least of its neighbours' and then follows one pointer
-    (label of the label); rounds end when no label changes. Nodes without links have no row, nulls
-    and self links are ignored. Labels stay distributed; every round is written and the one before it dropped.
-    Joins are merge joins at every size, so nothing passes through the driver; a hub's rows are two longs each,
-    are aggregated before the shuffle, and a join on a hub is one that Spark may split.
+    Each round points every node at its smallest neighbour, or itself, follows the pointers to their ends, and contracts the links
+    to those ends, which at least halves the nodes that have links; rounds end when no link is left. A node's label is
+    where the rounds' pointers lead one after another. Nodes without links have no row, nulls and self links are ignored.
+    Everything stays distributed and is written at each step; joins are merge joins of written tables at every size,
+    which lets Spark split a hub's rows, two longs each, and minima are taken before the shuffle.
     """
     scratch = scratch or Scratch(links.sparkSession, "components")
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = scratch.put("links", pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = scratch.put("labels-0", both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")))
-    number = 0
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = lower.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
-        after = scratch.put(f"labels-{number + 1}", after)
-        scratch.drop(f"labels-{number}")
-        number += 1
-        labels = after.select("node", "label")
-        if not after.where("label <> old").limit(1).count():
-            scratch.drop("links")
-            return labels
+    pairs = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a) != F.col(b))
+    edges = scratch.put("links", pairs.distinct())
+    labels = None
+    while labels is None or edges.limit(1).count():
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
+        up = scratch.put("pointers", ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+        moved = True
+        while moved:
+            on = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            after = scratch.put("pointers", up.select("node", "label").join(on.hint("merge"), "label").select("node", F.col("next").alias("label"), (F.col("label") != F.col("next")).alias("moved")))
+            moved = after.where("moved").limit(1).count() > 0
+            up = after.select("node", "label")
+        if labels is None:
+            labels = scratch.put("labels", up)
+        else:
+            on = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = scratch.put("labels", labels.join(on.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        of = lambda end: up.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        there = edges.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select(F.least("u_label", "v_label").alias("u"), F.greatest("u_label", "v_label").alias("v"))
+        edges = scratch.put("links", there.where("u <> v").distinct())
+        scratch.drop("pointers")
+    scratch.drop("links")
+    return labels
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels of components after more links (a, b): only the links between different components are followed."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    named = links.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left")
+    named = scratch.put("named", named.select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")))
+    on = components(named, "x", "y", scratch=scratch).select(F.col("node").alias("label"), F.col("label").alias("next"))
+    every = labels.unionByName(named.select(F.col("a").alias("node"), F.col("x").alias("label"))).unionByName(named.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
+    found = scratch.put("labels", every.join(on.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+    scratch.drop("named")
+    return found

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, components, mix64, runs_hash, table, written
+from .common import Scratch, WordHashes, components, merged, mix64, runs_hash, table, written
 
 CROWDED = 64
 BLOCK = 512
@@ -429,16 +429,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Sc
     return beside.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: str = "components", scratch: Scratch | None = None):
+def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: str = "components"):
     """The join of df's texts with themselves at Jaccard similarity num / den or more.
 
     Returns (rows, pairs): rows (key, h, n, name) with a class name for each document (null: empty set),
     and verified links (a, b) between class names; these connect every component, and with
     ``links="all"`` they are all links between different sets.
     """
+    return _join(df, words, num, den, key, text, links, Scratch(df.sparkSession, "join"))[:2]
+
+
+def _join(df: DataFrame, words: int, num: int, den: int, key: str, text: str, links: str, scratch: Scratch):
+    """(rows, pairs) of ``join``, and the labels (node, label) of the components but for ``links="all"``."""
     if not 0 < num <= den:
         raise ValueError("the similarity lies in (0, 1]")
-    scratch = scratch or Scratch(df.sparkSession, "join")
     for seed in range(100):
         rows = scratch.put("rows", _features(df, key, text, words, num, den, seed))
         classes = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.min(F.struct(key, "h")).alias("x"))
@@ -483,16 +487,16 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     linked = done.where("linked").select("a", "b")
     scratch.drop("candidates")
     if many:
-        return rows, linked
+        return rows, linked, None
 
-    def marked(links: DataFrame) -> DataFrame:
+    def marked(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with their labels."""
-        labels = components(links, scratch=scratch).withColumnRenamed("node", "name")
-        named = buckets.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+        named = buckets.join(labels.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name"))
         mixed = named.groupBy("signature").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("signature")
         return scratch.put("marked", named.join(mixed.hint("merge"), "signature", "left_semi"))
 
-    rows_left = marked(linked)
+    labels = components(linked, scratch=scratch)
+    rows_left = marked(labels)
     while rows_left.where(F.col("c") > BLOCK).limit(1).count():
         one = rows_left.where(F.col("c") > BLOCK).groupBy("signature", "label").agg(F.min(F.struct("name", "n", "sketch")).alias("x")).select("signature", "x.*")
         one = scratch.put("ones", one)
@@ -500,23 +504,23 @@ def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
         again = scratch.put("candidates", _pivot_pairs(one, num, den).where("a <> b").join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), SHORT_ROWS)
         more = tested(again)
         scratch.drop("ones", "candidates")
-        done = done.unionByName(more)
-        linked = linked.unionByName(more.where("linked").select("a", "b"))
-        if not more.where("linked").limit(1).count():
+        done, more = done.unionByName(more), more.where("linked").select("a", "b")
+        if not more.limit(1).count():
             break
+        linked, labels = linked.unionByName(more), merged(labels, more, scratch)
         scratch.drop("marked")
-        rows_left = marked(linked)
+        rows_left = marked(labels)
     last = _cross_pairs(rows_left.drop("c"), num, den).join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    more = tested(scratch.put("candidates", last, SHORT_ROWS))
+    more = tested(scratch.put("candidates", last, SHORT_ROWS)).where("linked").select("a", "b")
     scratch.drop("marked", "buckets", "classes", "sets", "candidates")
-    return rows, linked.unionByName(more.where("linked").select("a", "b"))
+    return rows, linked.unionByName(more), merged(labels, more, scratch)
 
 
 def groups(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, h, n_shingles, component_id): the smallest key reachable by links (with an empty set: its own)."""
     scratch = Scratch(df.sparkSession, "join")
-    rows, pairs = join(df, words, num, den, key, text, scratch=scratch)
-    labels = components(pairs, scratch=scratch).withColumnRenamed("node", "name")
+    rows, _, labels = _join(df, words, num, den, key, text, "components", scratch)
+    labels = labels.withColumnRenamed("node", "name")
     classes = rows.where("n > 0").groupBy("name").agg(F.min(key).alias("least"))
     labelled = scratch.put("labelled", classes.join(labels.hint("merge"), "name", "left").withColumn("label", F.coalesce("label", "name")))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))

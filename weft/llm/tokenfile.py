@@ -33,6 +33,8 @@ SKIPPABLE = 0x184D2A50
 FRAME_IDS = 1 << 17
 FOOTER = struct.Struct("<QQQI8s")  # frames, documents, index bytes, crc32 of the index, magic
 END_ID = 1
+#: Marks that may stand at a word's end.
+MARKS = b".,;:!?"
 
 
 # --- files ---------------------------------------------------------------------------------------
@@ -139,10 +141,11 @@ class WordEncoder:
     There, ids of a text are those of its pieces between ASCII white space one after the other, so
     each piece is encoded by the library and remembered. New pieces go to it many at a time,
     parted by a special token, which it takes as the end of one text and the beginning of the next.
+    If the vocabulary lowers A to Z and parts a last mark from letters, forms of a word share what is learnt for it.
     At most 2 * ``most`` pieces are remembered: when the younger half is full, the elder one goes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -162,10 +165,30 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
         self.most = most
+        marks = {chr(m): self._one(bytes([m])) for m in MARKS}
+        plain = [w for w in sample if w.isascii()]
+        self.by_form = all(self._one((w.capitalize() + m).encode()) == self._one(w.lower().encode()) + ids for w in plain for m, ids in marks.items())
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _by_form(self, new: list[bytes]) -> None:
+        """Learns letters with a last mark or capitals from the letters in lower case and the mark."""
+        forms, rest = [], []
+        for w in new:
+            mark = w[-1:] if w[-1] in MARKS else b""
+            core = w[:-1] if mark else w
+            lower = core.lower()
+            if core.isalpha() and lower != w:
+                forms.append((w, lower, mark))
+            else:
+                rest.append(w)
+        needed = {x for _, lower, mark in forms for x in (lower, mark) if x}
+        self._learn([*{*rest, *needed}.difference(self.known)])
+        known = self.known
+        for w, lower, mark in forms:
+            known[w] = known[lower] + known[mark] if mark else known[lower]
+
     def _learn(self, new: list[bytes], group: int = 256) -> None:
         if self.parting is None:
             self.known.update((w, self._one(w)) for w in new)
@@ -198,7 +221,7 @@ class WordEncoder:
                 new.append(word)
             else:
                 known[word] = ids
-        self._learn(new)
+        (self._by_form if self.by_form else self._learn)(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
