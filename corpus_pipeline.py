@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import jaccard, linededup, packing, pii, quality
+from weft.llm import jaccard, linededup, packing, pii, quality, tokenfile
 from weft.llm.common import Scratch, table, written
 
 
@@ -52,7 +52,7 @@ def personal_data(spark, docs, sf_dir):
 
 def length_buckets(spark, docs, sf_dir):
     """Every document's bucket and batch: (doc_id, n_tokens, bucket, padded_to, batch_id, place)."""
-    return packing.pack(written(packing.token_lengths(docs.select("doc_id", "text")), "packing-lengths"))
+    return packing.pack(written(packing.token_lengths(docs.select("doc_id", "text")), "packing-lengths", tokenfile.ENCODED_ROWS))
 
 
 STAGES = [

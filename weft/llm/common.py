@@ -89,9 +89,9 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, arrow_rows: int = BATCH_ROWS) -> DataFrame:
     """df as a Parquet table in the shared folder that stays: the last one that a result reads."""
-    return Scratch(df.sparkSession, name).put(name, df)
+    return Scratch(df.sparkSession, name).put(name, df, arrow_rows)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

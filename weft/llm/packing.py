@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_parts, small_batches, table, written
-from .tokenfile import vocabulary_path, word_encoder
+from .tokenfile import ENCODED_ROWS, vocabulary_path, word_encoder
 
 BUCKETS, BUDGET = 16, 1 << 15
 
@@ -115,7 +115,7 @@ def pack(df: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets:
 
 
 def op8_packing(spark, sf_dir):
-    lengths = written(token_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")), "packing-lengths")
+    lengths = written(token_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")), "packing-lengths", ENCODED_ROWS)
     return pack(lengths)
 
 

@@ -16,6 +16,7 @@ of the results (ValueError).
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -33,8 +34,10 @@ SKIPPABLE = 0x184D2A50
 FRAME_IDS = 1 << 17
 FOOTER = struct.Struct("<QQQI8s")  # frames, documents, index bytes, crc32 of the index, magic
 END_ID = 1
-#: Marks that may stand at a word's end.
-MARKS = b".,;:!?"
+#: Texts of an Arrow batch: a word is looked for once in each.
+ENCODED_ROWS = 1024
+#: A word of Latin letters whose lower case is one letter each, and the marks at its end.
+FORM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#*]*)")
 
 
 # --- files ---------------------------------------------------------------------------------------
@@ -165,29 +168,37 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
         self.most = most
-        marks = {chr(m): self._one(bytes([m])) for m in MARKS}
-        plain = [w for w in sample if w.isascii()]
+        marks = {m: self._one(m.encode()) for m in (*".,;:!?%$#*", ".%%%", "!!", "?,***")}
+        plain = [w for w in (*sample, "élan", "straße", "ñandú") if FORM.fullmatch(w)]
         self.by_form = all(self._one((w.capitalize() + m).encode()) == self._one(w.lower().encode()) + ids for w in plain for m, ids in marks.items())
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _by_form(self, new: list[bytes]) -> None:
-        """Learns letters with a last mark or capitals from the letters in lower case and the mark."""
-        forms, rest = [], []
+        """Learns a word with capitals or marks at its end from its letters in lower case and the marks."""
+        forms, rest = [], set()
         for w in new:
-            mark = w[-1:] if w[-1] in MARKS else b""
-            core = w[:-1] if mark else w
-            lower = core.lower()
-            if core.isalpha() and lower != w:
-                forms.append((w, lower, mark))
+            found = FORM.fullmatch(w.decode())
+            lower = found[1].lower().encode() if found else w
+            if lower == w:
+                rest.add(w)
             else:
-                rest.append(w)
-        needed = {x for _, lower, mark in forms for x in (lower, mark) if x}
-        self._learn([*{*rest, *needed}.difference(self.known)])
-        known = self.known
-        for w, lower, mark in forms:
-            known[w] = known[lower] + known[mark] if mark else known[lower]
+                marks = found[2].encode()
+                forms.append((w, lower, marks))
+                rest.add(lower)
+                rest.add(marks)
+        rest.discard(b"")
+        known, elder, new = self.known, self.elder, []
+        for w in rest.difference(known):
+            ids = elder.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        self._learn(new)
+        for w, lower, marks in forms:
+            known[w] = known[lower] + known[marks] if marks else known[lower]
 
     def _learn(self, new: list[bytes], group: int = 256) -> None:
         if self.parting is None:
@@ -281,7 +292,7 @@ def write_files(df: DataFrame, folder: str, path: str | None = None, key: str =
             sink.close()
 
     ranged = df.select(key, text).repartitionByRange(files, F.col(key), F.xxhash64(F.coalesce(text, F.lit("")))).sortWithinPartitions(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))), F.col(text))
-    return written(ranged.mapInArrow(run, schema), "token-manifest")
+    return written(ranged.mapInArrow(run, schema), "token-manifest", ENCODED_ROWS)
 
 
 def read_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
