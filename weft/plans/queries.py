@@ -353,7 +353,7 @@ c(p, r) USING KEY (p) AS (
 SELECT p AS point FROM pts WHERE p NOT IN (SELECT p FROM c)""",
     "natural_entries": f"WITH {H} SELECT p AS point FROM pts WHERE p NOT IN (SELECT head FROM h)",
     "executable_order_rounds": f"WITH {H} SELECT id AS edge, (CASE split_part(id, '-', 1) WHEN 'r' THEN 1 WHEN 'n' THEN 2 ELSE 3 END)::BIGINT AS round FROM h WHERE split_part(id, '-', 1) IN ('r', 'n', 's')",
-    "induced_subgraph": f"WITH {H}, x AS (SELECT p FROM pts WHERE split_part(p, '-', 2)::BIGINT % 2 = 0 AND split_part(p, '-', 1) IN ('R', 'N', 'S', 'P')) SELECT id, w::BIGINT AS weight_units, head FROM h WHERE head IN (SELECT p FROM x) AND NOT EXISTS (SELECT 1 FROM t WHERE t.id = h.id AND t.p NOT IN (SELECT p FROM x))",
+    "induced_subgraph": f"WITH {H}, x AS (SELECT p FROM pts WHERE split_part(p, '-', 2)::BIGINT % 2 = 0 AND split_part(p, '-', 1) IN ('R', 'N', 'S', 'P')), inside AS (SELECT id, count(*) AS k FROM t JOIN x USING (p) GROUP BY id) SELECT h.id, w::BIGINT AS weight_units, head FROM h JOIN x ON x.p = h.head LEFT JOIN inside USING (id) WHERE coalesce(k, 0) = len(tails)",
     "executable_order_all": _closure_sql(FREE, "SELECT id AS edge, 1::BIGINT AS round FROM h WHERE len(tails) = 0 UNION ALL SELECT tt.id, (max(k.r) + 1)::BIGINT FROM tt JOIN c k ON k.p = tt.p GROUP BY tt.id, tt.n HAVING count(*) = tt.n"),
     "induced_all_kinds": f"""WITH {H}, x AS (
   SELECT p FROM pts WHERE split_part(p, '-', 1) IN ('R', 'N') UNION ALL SELECT 'S-' || s_suppkey FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'P-' || p_partkey FROM part WHERE p_size > 5
@@ -373,7 +373,11 @@ SELECT head AS query_id, min(cost)::BIGINT AS cost, min(cost)::BIGINT AS lower,
     "validate_issues": f"""WITH {H}, have AS (SELECT p FROM pts WHERE NOT (p LIKE 'S-%' AND split_part(p, '-', 2)::BIGINT % 3 = 0))
 SELECT 'duplicate_id' AS code, count(*) AS n FROM nation UNION ALL
 SELECT 'unknown_point', count(*) FROM (SELECT head FROM h WHERE head NOT IN (SELECT p FROM have) UNION ALL SELECT p FROM t WHERE p NOT IN (SELECT p FROM have))""",
-    "validate_clean": "SELECT 0::BIGINT AS n",
+    "validate_clean": f"""WITH {H}, names AS (SELECT p AS id FROM pts UNION ALL SELECT id FROM h), found AS (
+  SELECT count(*) - count(DISTINCT id) AS n FROM names UNION ALL SELECT count(*) FROM names WHERE NOT regexp_full_match(id, '[A-Za-z][A-Za-z0-9_.-]*')
+  UNION ALL SELECT count(*) FROM t WHERE p NOT IN (SELECT p FROM pts) UNION ALL SELECT count(*) FROM h WHERE head NOT IN (SELECT p FROM pts)
+  UNION ALL SELECT count(*) FROM h WHERE w IS NULL OR w < 0 UNION ALL SELECT count(*) FROM h WHERE len(tails) <> len(list_distinct(tails)))
+SELECT sum(n)::BIGINT AS n FROM found""",
     "weight_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE (o_orderkey % 100) * 10 + o_orderkey % 10 END AS weight_units, CASE WHEN o_orderkey % 7 = 0 THEN 'none' WHEN o_orderkey % 10 = 0 THEN (o_orderkey % 100)::VARCHAR ELSE (o_orderkey % 100) || '.' || (o_orderkey % 10) END AS weight FROM orders",
     "point_rename": f"WITH {H} SELECT id, CASE head WHEN 'S-1' THEN 'S-one' ELSE head END AS head, array_to_string(list_sort(list_transform(tails, lambda x: CASE x WHEN 'S-1' THEN 'S-one' ELSE x END)), ',') AS tails FROM h WHERE head = 'S-1' OR list_contains(tails, 'S-1')",
     "point_remove_cascade": f"WITH {H} SELECT split_part(id, '-', 1) AS kind, count(*) AS n FROM h WHERE head <> 'S-1' AND NOT list_contains(tails, 'S-1') GROUP BY 1",
