@@ -60,6 +60,12 @@ class GraphError(Exception):
     def __init__(self, code: str, message: str = "", issues: list[Issue] | tuple = (), **details):
         super().__init__(f"{code}: {message}" + "".join(f"\n  {i.code} at {i.path or '/'}" for i in issues))
         self.code, self.message, self.issues, self.details = code, message, list(issues), details
+        #: The argument that a failed edit's check was about, as a path within an operation.
+        self.field: str | None = None
+
+    def on(self, field: str) -> GraphError:
+        self.field = field
+        return self
 
     @property
     def exit_status(self) -> int:

@@ -27,33 +27,41 @@ def _has_edge(graph: Graph, name: str) -> bool:
 
 def _need_point(graph: Graph, name: str) -> None:
     if not _has_point(graph, name):
-        raise GraphError("unknown_point", name, id=name)
+        raise GraphError("unknown_point", name, id=name).on("id")
 
 
 def _need_edge(graph: Graph, name: str) -> None:
     if not _has_edge(graph, name):
-        raise GraphError("unknown_hyperedge", name, id=name)
+        raise GraphError("unknown_hyperedge", name, id=name).on("id")
 
 
-def _need_new(graph: Graph, name: str) -> None:
+def _need_new(graph: Graph, name: str, field: str = "id") -> None:
     if not is_id(name):
-        raise GraphError("invalid_id", name, id=name)
-    if _has_point(graph, name) or _has_edge(graph, name):
-        raise GraphError("id_conflict", name, id=name)
+        raise GraphError("invalid_id", name, id=name).on(field)
+    taken = graph.points.select("id").unionByName(graph.hyperedges.select("id")).where(F.col("id") == name)
+    if not is_empty(taken):
+        raise GraphError("id_conflict", name, id=name).on(field)
 
 
-def _need_points(graph: Graph, names: list[str]) -> None:
-    wanted = list(dict.fromkeys(names))
+def _need_ends(graph: Graph, tails: list[str] | None = None, head: str | None = None) -> None:
+    """Every tail and the head are points, then no tail stands twice; one lookup for all."""
+    ends = [(f"tails/{i}", t) for i, t in enumerate(tails or ())] + ([] if head is None else [("head", head)])
+    wanted = sorted({name for _, name in ends})
     found = {r["id"] for r in graph.points.where(F.col("id").isin(wanted)).select("id").collect()} if wanted else set()
-    for name in wanted:
+    for field, name in ends:
         if name not in found:
-            raise GraphError("unknown_point", name, id=name)
+            raise GraphError("unknown_point", name, id=name).on(field)
+    first: dict[str, int] = {}
+    for i, tail in enumerate(tails or ()):
+        if first.setdefault(tail, i) != i:
+            raise GraphError("duplicate_tail", tail, id=tail, index=i).on(f"tails/{i}")
 
 
-def _need_distinct(tails: list[str]) -> None:
-    for i, tail in enumerate(tails):
-        if tail in tails[:i]:
-            raise GraphError("duplicate_tail", tail, id=tail, index=i)
+def _units(weight: str) -> int:
+    try:
+        return J.weight_units(J.Number(weight))
+    except GraphError as e:
+        raise e.on("weight") from None
 
 
 def _after(df: DataFrame) -> int:
@@ -89,17 +97,17 @@ def point_remove(graph: Graph, name: str, cascade: bool = False, ignore_missing:
     if not _has_point(graph, name):
         if ignore_missing:
             return graph
-        raise GraphError("unknown_point", name, id=name)
+        raise GraphError("unknown_point", name, id=name).on("id")
     used = (F.col("head") == name) | F.array_contains("tails", name)
     if not cascade and not is_empty(graph.hyperedges.where(used)):
-        raise GraphError("point_referenced", name, id=name)
+        raise GraphError("point_referenced", name, id=name).on("id")
     return graph.with_frames(graph.points.where(F.col("id") != name), graph.hyperedges.where(~used))
 
 
 def point_rename(graph: Graph, name: str, new: str) -> Graph:
     """The point in its place under a new name, and so in every edge."""
     _need_point(graph, name)
-    _need_new(graph, new)
+    _need_new(graph, new, "newId")
 
     def swapped(column):
         return F.when(column == name, F.lit(new)).otherwise(column)
@@ -123,9 +131,8 @@ def hyperedge_get(graph: Graph, name: str) -> DataFrame:
 def hyperedge_add(graph: Graph, name: str, tails: list[str], head: str, weight: str, data=J.MISSING) -> Graph:
     """weight is a number's text. Checks come in the order id, points, tails, weight."""
     _need_new(graph, name)
-    _need_points(graph, [*tails, head])
-    _need_distinct(tails)
-    row = (_after(graph.hyperedges), name, J.weight_units(J.Number(weight)), list(tails), head, _payload(data))
+    _need_ends(graph, tails, head)
+    row = (_after(graph.hyperedges), name, _units(weight), list(tails), head, _payload(data))
     return graph.with_frames(hyperedges=graph.hyperedges.unionByName(graph.spark.createDataFrame([row], HYPEREDGES)))
 
 
@@ -133,7 +140,7 @@ def hyperedge_remove(graph: Graph, name: str, ignore_missing: bool = False) -> G
     if not _has_edge(graph, name):
         if ignore_missing:
             return graph
-        raise GraphError("unknown_hyperedge", name, id=name)
+        raise GraphError("unknown_hyperedge", name, id=name).on("id")
     return graph.with_frames(hyperedges=graph.hyperedges.where(F.col("id") != name))
 
 
@@ -143,26 +150,25 @@ def _replaced(graph: Graph, name: str, column: str, value) -> Graph:
 
 def hyperedge_rename(graph: Graph, name: str, new: str) -> Graph:
     _need_edge(graph, name)
-    _need_new(graph, new)
+    _need_new(graph, new, "newId")
     return _replaced(graph, name, "id", F.lit(new))
 
 
 def hyperedge_set_tails(graph: Graph, name: str, tails: list[str]) -> Graph:
     _need_edge(graph, name)
-    _need_points(graph, tails)
-    _need_distinct(tails)
+    _need_ends(graph, tails)
     return _replaced(graph, name, "tails", F.array(*map(F.lit, tails)).cast("array<string>"))
 
 
 def hyperedge_set_head(graph: Graph, name: str, head: str) -> Graph:
     _need_edge(graph, name)
-    _need_points(graph, [head])
+    _need_ends(graph, head=head)
     return _replaced(graph, name, "head", F.lit(head))
 
 
 def hyperedge_set_weight(graph: Graph, name: str, weight: str) -> Graph:
     _need_edge(graph, name)
-    return _replaced(graph, name, "weight_units", F.lit(J.weight_units(J.Number(weight))).cast("bigint"))
+    return _replaced(graph, name, "weight_units", F.lit(_units(weight)).cast("bigint"))
 
 
 # --- payloads ------------------------------------------------------------------------------------
@@ -181,7 +187,10 @@ def data_get(graph: Graph, kind: str, name: str, pointer: str = ""):
 def _with_data(graph: Graph, kind: str, name: str, change) -> Graph:
     df = _frame(graph, kind, name)
     old = J.from_column(df.where(F.col("id") == name).select("data").first()["data"])
-    text = J.to_column(change(old))
+    try:
+        text = J.to_column(change(old))
+    except GraphError as e:
+        raise e.on("pointer") from None
     return graph.with_frames(**{"points" if kind == "point" else "hyperedges": df.withColumn("data", F.when(F.col("id") == name, F.lit(text)).otherwise(F.col("data")))})
 
 
@@ -265,15 +274,9 @@ def _one(graph: Graph, name: str, f: dict) -> Graph:
     if action == "data.set":
         return data_set(graph, kind, f["id"], f["value"], f.get("pointer", ""))
     if action == "data.remove":
-        if f.get("ignoreMissing") and not (_has_point if kind == "point" else _has_edge)(graph, f["id"]):
-            raise GraphError("unknown_point" if kind == "point" else "unknown_hyperedge", f["id"], id=f["id"])
         return data_remove(graph, kind, f["id"], f.get("pointer", ""), f.get("ignoreMissing", False))
     if name == "hyperedge.add":
-        tails = f.get("tails", [])
-        _need_new(graph, f["id"])
-        _need_points(graph, [*tails, f["head"]])
-        _need_distinct(tails)
-        return hyperedge_add(graph, f["id"], tails, f["head"], f["weight"], f.get("data", J.MISSING))
+        return hyperedge_add(graph, f["id"], f.get("tails", []), f["head"], f["weight"], f.get("data", J.MISSING))
     if name == "hyperedge.remove":
         return hyperedge_remove(graph, f["id"], f.get("ignoreMissing", False))
     if name == "hyperedge.rename":
@@ -285,28 +288,6 @@ def _one(graph: Graph, name: str, f: dict) -> Graph:
     return hyperedge_set_weight(graph, f["id"], f["weight"])
 
 
-def _place(error: GraphError, f: dict) -> tuple[str, str]:
-    """(issue code, path in the operation) of a failed operation."""
-    name, code = error.details.get("id"), error.code
-    if code == "duplicate_tail":
-        return code, f"/tails/{error.details['index']}"
-    if code == "unknown_point":
-        if f.get("head") == name:
-            return code, "/head"
-        if name in f.get("tails", ()):
-            return code, f"/tails/{f['tails'].index(name)}"
-        return code, "/id"
-    if code == "unknown_hyperedge":
-        return "missing_field", "/id"
-    if code in ("id_conflict", "invalid_id"):
-        return ("duplicate_id" if code == "id_conflict" else code), ("/newId" if f.get("newId") == name else "/id")
-    if code == "invalid_weight":
-        return code, "/weight"
-    if code.startswith("pointer_") or code == "invalid_pointer":
-        return code, "/pointer"
-    return code, "/id"
-
-
 def apply(graph: Graph, operations: str | bytes | list) -> Graph:
     """All operations in order, or GraphError invalid_operations with the first one's issue and no change."""
     if not isinstance(operations, list):
@@ -317,16 +298,14 @@ def apply(graph: Graph, operations: str | bytes | list) -> Graph:
     if not isinstance(operations, list):
         raise GraphError("invalid_operations", "an array is needed", [Issue("invalid_type", "/operations")])
     for i, op in enumerate(operations):
-        fields: dict = {}
         try:
-            name, fields = _checked(op)
-            graph = _one(graph, name, fields)
+            graph = _one(graph, *_checked(op))
         except _Bad as bad:
             code, path, message = bad.issue
             raise GraphError("invalid_operations", message, [Issue(code, f"/operations/{i}{path}", message)]) from None
         except GraphError as e:
-            code, path = _place(e, fields)
-            raise GraphError("invalid_operations", e.message, [Issue(code, f"/operations/{i}{path}", e.message)]) from e
+            path = f"/operations/{i}/{e.field}" if e.field else f"/operations/{i}"
+            raise GraphError("invalid_operations", e.message, [Issue(e.code, path, e.message)]) from e
         if (i + 1) % CUT_EVERY == 0:
             graph = graph.with_frames(cut(graph.points), cut(graph.hyperedges))
     if operations and not is_empty(issues(graph)):
