@@ -164,6 +164,7 @@ class WordEncoder:
             raise ValueError("this vocabulary doesn't drop white space")
         parting = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.special = tuple(content.encode() for _, content in parting)
+        self.may_be_special = re.compile(b"|".join({re.escape(s[:1]) for s in self.special}) or b"(?!)").search
         self.parting = max(parting, default=None)
         self.known: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
@@ -179,6 +180,9 @@ class WordEncoder:
         """Learns a word with capitals or marks at its end from its letters in lower case and the marks."""
         forms, rest = [], set()
         for w in new:
+            if w.isalpha() and w.islower():
+                rest.add(w)
+                continue
             found = FORM.fullmatch(w.decode())
             lower = found[1].lower().encode() if found else w
             if lower == w:
@@ -205,13 +209,13 @@ class WordEncoder:
             self.known.update((w, self._one(w)) for w in new)
             return
         # a piece that holds a special token itself goes alone
-        alone = [w for w in new if any(s in w for s in self.special)]
+        alone = [w for w in new if self.may_be_special(w) and any(s in w for s in self.special)]
         if alone:
             self.known.update((w, self._one(w)) for w in alone)
             new = [w for w in new if w not in self.known]
         number, content = self.parting
         groups = [new[i : i + group] for i in range(0, len(new), group)]
-        texts = [content.join([w.decode() for w in g]) for g in groups]
+        texts = [content.encode().join(g).decode() for g in groups]
         for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(ids == number).tolist()
