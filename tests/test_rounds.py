@@ -2,8 +2,11 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from tests.helpers import graph_of, starts
 from weft.operators import bounds as B
+from weft.operators import reach as R
 from weft.plans.fixpoint import ensure_checkpoint_dir
 
 RING = [f"e{i}: p{i}->p{(i + 1) % 12} (1)" for i in range(12)] + ["pair: p3,p5->x (1)", "on: x->y (1)"]
@@ -23,3 +26,11 @@ def test_bounds_leave_their_result_only(spark):
     g = graph_of(spark, RING)
     for measure in (B.DepthCost(), B.TreeCost()):
         assert left_after(spark, lambda m=measure: B.bounds(g, starts(spark, "p0"), m, prepaid=spark.createDataFrame([("e1",)], "edge string")).collect()) <= 1
+
+
+def test_order_of_all_edges(spark):
+    g = graph_of(spark, [*RING, "free: ->z (1)", "lost: w->v (1)"])
+    every = g.hyperedges.select(F.lit("q").alias("query_id"), F.col("id").alias("edge"))
+    found = [R.executable_order(g, starts(spark, "p0"), edges) for edges in (None, every)]
+    assert [sorted(tuple(r) for r in order.collect()) for order, _ in found][0] == sorted(tuple(r) for r in found[1][0].collect())
+    assert [[tuple(r) for r in blocked.collect()] for _, blocked in found] == [[("q", "lost")]] * 2
