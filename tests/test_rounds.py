@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import graph_of, starts
 from weft.operators import bounds as B
+from weft.operators import diagnose as D
 from weft.operators import reach as R
 from weft.plans.fixpoint import ensure_checkpoint_dir
 
@@ -28,6 +29,12 @@ def test_bounds_leave_their_result_only(spark):
         assert left_after(spark, lambda m=measure: B.bounds(g, starts(spark, "p0"), m, prepaid=spark.createDataFrame([("e1",)], "edge string")).collect()) <= 1
 
 
+def test_frontier_leaves_its_result_only(spark):
+    targets = spark.createDataFrame([("q", "y")], "query_id string, target string")
+    # closure, frontier, and the edges that stay with the graph
+    assert left_after(spark, lambda: D.blocking_frontier(graph_of(spark, RING), starts(spark, "nowhere"), targets).collect()) <= 3
+
+
 def test_order_of_all_edges(spark):
     g = graph_of(spark, [*RING, "free: ->z (1)", "lost: w->v (1)"])
     every = g.hyperedges.select(F.lit("q").alias("query_id"), F.col("id").alias("edge"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.fixpoint import cut, is_empty
+from ..plans.fixpoint import Tables, beside, cut, is_empty
+from .layout import shape
 from .reach import closure
 
 KEY = ["query_id", "target"]
@@ -18,15 +19,18 @@ def blocking_frontier(graph: Graph, starts: DataFrame, targets: DataFrame) -> Da
     targets: (query_id, target). The walk goes through all incoming edges of an unreached point and
     their unreached premises; the target itself is included. A reached target has no rows.
     """
+    tables = Tables(graph.spark)
     known = closure(graph, starts, queries=targets).select("query_id", "point")
-    premises = graph.hyperedges.select(F.col("head").alias("point"), F.explode("tails").alias("premise")).distinct()
-    new = cut(targets.select(*KEY, F.col("target").alias("point")).distinct().join(known, ["query_id", "point"], "left_anti").select(*KEY, "point"))
-    found = new
+    where, edges = shape(graph)
+    premises = tables.dealt("premises", edges.select("head", F.explode("tails").alias("premise")), "head", slices=where.slices("edges"))
+    asked = targets.select(*KEY, F.col("target").alias("point")).distinct()
+    new = tables.put("found", asked.join(known, ["query_id", "point"], "left_anti").select(*KEY, "point"))
     while not is_empty(new):
-        ahead = new.join(premises, "point").select(*KEY, F.col("premise").alias("point")).distinct()
-        new = cut(ahead.join(known, ["query_id", "point"], "left_anti").join(found, [*KEY, "point"], "left_anti").select(*KEY, "point"))
-        found = found.unionByName(new)
-    return cut(found)
+        ahead = beside(new.withColumnRenamed("point", "head"), "head").join(premises, "head").select(*KEY, F.col("premise").alias("point")).distinct()
+        ahead = ahead.join(known, ["query_id", "point"], "left_anti").join(tables.all_of("found"), [*KEY, "point"], "left_anti")
+        new = tables.put("found", ahead.select(*KEY, "point"))
+    tables.drop("premises")
+    return tables.kept(tables.all_of("found"))
 
 
 def components(arcs: DataFrame, key: list[str]) -> DataFrame:
