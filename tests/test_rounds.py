@@ -41,3 +41,16 @@ def test_order_of_all_edges(spark):
     found = [R.executable_order(g, starts(spark, "p0"), edges) for edges in (None, every)]
     assert [sorted(tuple(r) for r in order.collect()) for order, _ in found][0] == sorted(tuple(r) for r in found[1][0].collect())
     assert [[tuple(r) for r in blocked.collect()] for _, blocked in found] == [[("q", "lost")]] * 2
+
+
+def test_cycle_members_with_several_components(spark):
+    # y waits for x; two rings, and a loop that the target's own component does not hold
+    g = graph_of(spark, ["a: a->b (1)", "b: b->a (1)", "c: c->d (1)", "d: d->c (1)", "l: l->l (1)", "m: a,c,l->t (1)", "back: t,u->u (1)"])
+    targets = spark.createDataFrame([("q", "t"), ("q", "a"), ("r", "u")], "query_id string, target string")
+    nowhere = starts(spark, "nowhere").unionByName(starts(spark, "nowhere", query="r"))
+    cycles = D.blocking_cycles(g, D.blocking_frontier(g, nowhere, targets))
+    got = {}
+    for r in cycles.collect():
+        got.setdefault((r["query_id"], r["target"]), []).append(r["cycle"])
+    three = [["a", "b"], ["c", "d"], ["l"]]
+    assert {k: sorted(v) for k, v in got.items()} == {("q", "t"): three, ("q", "a"): [["a", "b"]], ("r", "u"): [*three, ["u"]]}

@@ -79,11 +79,39 @@ def components(arcs: DataFrame, key: list[str]) -> DataFrame:
     return cut(found.unionByName(alone.select(*key, "node", F.col("node").alias("component"))))
 
 
+def cycle_members(graph: Graph, frontier: DataFrame) -> DataFrame:
+    """(query_id, target, node, component): the members of each cyclic component of a blocking_frontier()'s dependencies.
+
+    A target leads to its whole frontier, so what leads back to it is its own component. The components of the rest,
+    which no arc leaves both into and out of that one, are found apart.
+    """
+    tables = Tables(graph.spark)
+    where, edges = shape(graph)
+    slices, on = where.slices("edges"), [*KEY, "point"]
+    heads = tables.dealt("heads", edges.select("head", F.explode("tails").alias("point")), "point", slices=slices)
+    new = tables.put("back", frontier.where("point = target").select(*on))
+    while not is_empty(new):
+        ahead = beside(new, "point").join(heads, "point").select(*KEY, F.col("head").alias("point")).distinct()
+        ahead = ahead.join(frontier.select(*on), on, "left_semi").join(tables.all_of("back"), on, "left_anti")
+        new = tables.put("back", ahead.select(*on))
+    back = tables.all_of("back")
+    several = back.where("point <> target").select(*KEY).distinct()
+    own = tables.put("own", back.join(several, KEY, "left_semi"))
+    rest = tables.put("rest", frontier.select(*on).join(own, on, "left_anti"))
+    tables.drop("back")
+    ours = own.select(*KEY, F.col("point").alias("node"), F.col("target").alias("component"))
+    if is_empty(rest):
+        return tables.kept(ours)
+    # arcs (a, b) from a head to a tail of it, both in the rest
+    arcs = beside(rest, "point").join(heads, "point").select(*KEY, F.col("head").alias("a"), F.col("point").alias("b"))
+    arcs = tables.put("arcs", arcs.join(rest.withColumnRenamed("point", "a"), [*KEY, "a"], "left_semi").select(*KEY, "a", "b").distinct())
+    tables.drop("heads", "rest")
+    return tables.kept(ours.unionByName(components(arcs, KEY)))
+
+
 def blocking_cycles(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """(query_id, target, cycle): each cyclic component of a frontier's dependencies, members and cycles in ASCII order."""
-    premises = graph.hyperedges.select(F.col("head").alias("a"), F.explode("tails").alias("b")).distinct()
-    arcs = frontier.withColumnRenamed("point", "a").join(premises, "a").join(frontier.withColumnRenamed("point", "b"), [*KEY, "b"]).select(*KEY, "a", "b")
-    return components(arcs, KEY).groupBy(*KEY, "component").agg(F.array_sort(F.collect_list("node")).alias("cycle")).select(*KEY, "cycle")
+    """(query_id, target, cycle): each cyclic component of a blocking_frontier()'s dependencies, members and cycles in ASCII order."""
+    return cycle_members(graph, frontier).groupBy(*KEY, "component").agg(F.array_sort(F.collect_list("node")).alias("cycle")).select(*KEY, "cycle")
 
 
 def diagnose(graph: Graph, starts: DataFrame, targets: DataFrame) -> DataFrame:
