@@ -8,6 +8,7 @@ from tests.helpers import graph_of, starts
 from weft.operators import bounds as B
 from weft.operators import diagnose as D
 from weft.operators import reach as R
+from weft.operators.layout import needed
 from weft.plans.fixpoint import ensure_checkpoint_dir
 
 RING = [f"e{i}: p{i}->p{(i + 1) % 12} (1)" for i in range(12)] + ["pair: p3,p5->x (1)", "on: x->y (1)"]
@@ -54,3 +55,9 @@ def test_cycle_members_with_several_components(spark):
         got.setdefault((r["query_id"], r["target"]), []).append(r["cycle"])
     three = [["a", "b"], ["c", "d"], ["l"]]
     assert {k: sorted(v) for k, v in got.items()} == {("q", "t"): three, ("q", "a"): [["a", "b"]], ("r", "u"): [*three, ["u"]]}
+
+
+def test_needed_is_the_walk_back(spark):
+    g = graph_of(spark, ["free: ->a (1)", "ab: a->b (2)", "abc: a,b->c (1)", "cb: c->b (1)", "cd: c->d (1)", "dx: d->x (1)"])
+    assert {r["id"] for r in needed(g, starts(spark, "c")).hyperedges.collect()} == {"free", "ab", "abc", "cb"}
+    assert {r["id"] for r in needed(g, starts(spark, "nowhere")).hyperedges.collect()} == set()
