@@ -184,6 +184,21 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowded, block):
     assert [got[i] for i in range(len(docs))] == brute_groups(docs, 2, 80, 100)[0]
 
 
+def test_sets_that_meet_many_are_copied_by_tiles(spark, monkeypatch):
+    """All pairs of 150 sets that are near each other: exact in every slice, and far fewer copies of sets than pairs."""
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 1)
+    r = np.random.default_rng(5)
+    sets = {k: np.unique(np.concatenate((np.arange(60), r.integers(60, 100, 20)))).astype(np.uint64) for k in range(150)}
+    pairs = list(itertools.combinations(sets, 2))
+    stored = spark.createDataFrame([(k, bytearray(v.tobytes()), len(v) * 8) for k, v in sets.items()], "name long, tokens binary, size int")
+    scratch = jaccard.Scratch(spark, "tiles-test")
+    copied_rows = jaccard._tiles(spark.createDataFrame(pairs, "a long, b long"), stored, scratch).count()
+    got = jaccard._verified(spark.createDataFrame(pairs, "a long, b long"), stored, 80, 100, scratch).collect()
+    want = {(a, b): 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in pairs}
+    assert len(got) == len(pairs) and {(g["a"], g["b"]): g["linked"] for g in got} == want
+    assert len(set(want.values())) == 2 and copied_rows < len(pairs) / 8
+
+
 def test_pigeonhole_holds_for_random_pairs():
     """Any two sets within the bound share an index row."""
     r = np.random.default_rng(4)

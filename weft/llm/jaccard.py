@@ -20,8 +20,8 @@ to blocks of about ``BLOCK`` classes. A first round compares members of a block
 exactly and connected. As long as that connects something, buckets of more than one block do the same with one
 class for each component in them. The last round writes the surviving pairs between different components, block
 against block: the rows of a bucket's largest component never meet each other there. Sets are fetched once, for
-classes that have a survivor in some bucket or lie in a bucket of many blocks; a pair is verified beside its pivot, and a pivot
-of many pairs is copied to a row for each ``BESIDE`` of them. Pairs are compared only within a bucket, but a bucket
+classes that have a survivor in some bucket or lie in a bucket of many blocks; pairs are verified in tiles of about ``TILE`` sets a
+side, whatever share of a tile's pairs survives, in as many slices as bound what is copied at once. Pairs are compared only within a bucket, but a bucket
 of many blocks whose classes are no copies of each other compares all their sketches. ``links="all"`` writes
 every surviving pair instead, for the whole join.
 
@@ -45,8 +45,10 @@ from .common import Scratch, WordHashes, components, merged, mix64, runs_hash, t
 
 CROWDED = 64
 BLOCK = 512
-#: Pairs of a pivot that are verified beside one copy of it.
-BESIDE = 128
+#: Sets on either side of a tile of pairs that are verified beside each other, and the bytes of its left side.
+TILE, TILE_BYTES = 64, 1 << 24
+#: Bytes of sets that may be copied to tiles at once, if sets has no more itself.
+SLICE_BYTES = 1 << 30
 SKETCH_BITS = 512
 #: Rows of an Arrow batch where rows are short.
 SHORT_ROWS = 4096
@@ -397,36 +399,70 @@ def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _tiles(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (g, i, j, name, against) of the sets that verify pairs (a, b): tile (i, j) of a group g has up to about ``TILE`` sets on either side.
+
+    against has the a of a tile that its b meets; it is null for the a themselves. A group has the pairs whose a share their
+    least name within two steps, so where many sets of a cluster meet each other a set is copied for each tile, not for each pair.
+    """
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    near = scratch.put("near", ends.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
+    of_a = pairs.join(near.withColumnRenamed("x", "b").hint("merge"), "b").groupBy("a").agg(F.min("m").alias("g"))
+    of_a = scratch.put("groups", of_a.join(sets.select(F.col("name").alias("a"), "size").hint("merge"), "a"))
+    grouped = scratch.put("grouped", pairs.join(of_a.select("a", "g").hint("merge"), "a"))
+    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    left = of_a.groupBy("g").agg(F.greatest(parts(F.count(F.lit(1)), TILE), parts(F.sum("size"), TILE_BYTES)).alias("n_i"))
+    right = grouped.select("g", "b").distinct().groupBy("g").agg(parts(F.count(F.lit(1)), TILE).alias("n_j"))
+    shape = scratch.put("shape", left.join(right.hint("merge"), "g"))  # a join of two tables is one that Spark may split
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    dealt = scratch.put("dealt", grouped.join(shape.hint("merge"), "g").select("g", block("a", "n_i").alias("i"), block("b", "n_j").alias("j"), "a", "b"))
+    ours = dealt.select("g", "i", "j", F.col("a").alias("name"), F.lit(None).cast("array<long>").alias("against")).distinct()
+    theirs = dealt.groupBy("g", "i", "j", F.col("b").alias("name")).agg(F.collect_list("a").alias("against"))
+    found = scratch.put("tiles", ours.unionByName(theirs))
+    scratch.drop("near", "groups", "grouped", "shape", "dealt")
+    return found
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """pairs with ``linked``: the exact test on whole sets, beside the pivot a; a pivot of many pairs is copied for each block of them."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BESIDE).alias("blocks"))
-    counts = scratch.put("counts", counts)  # a join of two tables is one that Spark may split
-    pairs = pairs.join(counts.hint("merge"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    pivots = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
-    ours = pivots.join(sets.withColumnRenamed("name", "a").hint("merge"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
-    theirs = pairs.join(sets.withColumnRenamed("name", "b").hint("merge"), "b").select("a", "block", "b", "tokens")
+    """pairs with ``linked``: the exact test on whole sets, tile by tile, so that sets that meet many others are not copied for each of them.
+
+    Where the tiles' sets are many more bytes than sets itself, or than ``SLICE_BYTES``, slices of the tiles follow each other, each one's shuffle
+    files going before the next one's come.
+    """
 
     def run(batches):
-        mine, a = None, None
+        tile, mine = None, {}
         for batch in batches:
             out = {"a": [], "b": [], "linked": []}
-            for pivot, b, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            keys = zip(*[batch.column(k).to_pylist() for k in range(3)])
+            for key, name, against, tokens in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
                 other = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if b is None:
-                    a, mine = pivot, other.copy()
+                if key != tile:
+                    tile, mine = key, {}
+                if against is None:
+                    mine[name] = other.copy()
                     continue
-                if a != pivot:
-                    raise RuntimeError("a pair without its pivot")
-                at = np.searchsorted(mine, other)
-                at[at == len(mine)] = 0
-                shared = int((mine[at] == other).sum())
-                out["a"].append(pivot)
-                out["b"].append(b)
-                out["linked"].append(den * shared >= num * (len(mine) + len(other) - shared))
+                for a in against:
+                    at = np.searchsorted(mine[a], other)
+                    at[at == len(mine[a])] = 0
+                    shared = int((mine[a][at] == other).sum())
+                    out["a"].append(a)
+                    out["b"].append(name)
+                    out["linked"].append(den * shared >= num * (len(mine[a]) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["linked"], pa.bool_())], list(out))
 
-    beside = ours.unionByName(theirs).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return beside.mapInArrow(run, "a long, b long, linked boolean")
+    tiles = _tiles(pairs, sets, scratch)
+    copied = tiles.join(sets.select("name", "size").hint("merge"), "name").agg(F.sum("size")).first()[0] or 0
+    slices = math.ceil(copied / max(SLICE_BYTES, sets.agg(F.sum("size")).first()[0] or 0)) or 1
+    found = None
+    for k in range(slices):
+        wanted = tiles.where(F.pmod(F.xxhash64("g", "i"), F.lit(slices)) == k) if slices > 1 else tiles
+        rows = wanted.join(sets.select("name", "tokens").hint("merge"), "name").select("g", "i", "j", "name", "against", "tokens")
+        beside = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.col("against").isNotNull())
+        part = scratch.put("pairs", beside.mapInArrow(run, "a long, b long, linked boolean"))
+        found = part if found is None else found.unionByName(part)
+    scratch.drop("tiles")
+    return found
 
 
 def join(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", links: str = "components"):
@@ -478,10 +514,10 @@ def _join(df: DataFrame, words: int, num: int, den: int, key: str, text: str, li
     chosen = classes.join(names.hint("merge"), "name", "left_semi").select(F.coalesce(F.col(f"x.{key}").cast("long"), absent).alias("_k"), F.col("x.h").alias("_h"))
     keyed = df.select(F.coalesce(F.col(key).cast("long"), absent).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
     texts = keyed.join(chosen.hint("merge"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
-    sets = scratch.put("sets", _sets(texts, "_text", words, seed).dropDuplicates(["name"]))
+    sets = scratch.put("sets", _sets(texts, "_text", words, seed).dropDuplicates(["name"]).withColumn("size", F.length("tokens")))
 
     def tested(candidates: DataFrame) -> DataFrame:
-        return scratch.put("pairs", _verified(candidates, sets, num, den, scratch))
+        return _verified(candidates, sets, num, den, scratch)
 
     done = tested(pairs.where("a <> b"))
     linked = done.where("linked").select("a", "b")
