@@ -4,12 +4,14 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from weft.llm import bpe, langid, pii, quality, tokenfile
+from weft.llm import bpe, langid, packing, pii, quality, tokenfile
 from weft.llm.common import WordHashes
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -151,6 +153,38 @@ def test_word_encoder_equals_the_library():
     assert all(list(a) == e.ids for a, e in zip(got, library.encode_batch(texts, add_special_tokens=False)))
 
 
+def test_length_counter_equals_the_library():
+    path = tokenfile.vocabulary_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    marked = ["Straße&&& ÉCOLE|||, the THE. The<|> a×b ÷ ǅ\u212a <|ENDOFTEXT|> x<|endoftext|>y, it's its' e\u0301te\u0338= <\u0338", None, "w|<|"]
+    texts = marked + ODD + random_texts(800, 6)
+    want = [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    counter = packing.LengthCounter(path, most=500)
+    assert counter.by_form and counter.letters is not None
+    plain, whole = packing.LengthCounter(path, most=500), packing.LengthCounter(path, most=500)
+    plain.letters, whole.by_form, whole.letters = None, False, None  # vocabularies of other steps, and those that part words otherwise
+    for one in (counter, plain, whole):
+        got = [n for i in range(0, len(texts), 90) for n in one.count(pa.array(texts, pa.string()).slice(i, 90)).tolist()]
+        assert got == want and one.elder and len(one.known) + len(one.elder) < 3000
+    assert counter.count(pa.array([None, None], pa.string())).tolist() == [0, 0] and not len(counter.count(pa.array([], pa.string())))
+
+
+def test_packing_learns_a_word_once_for_all_its_forms():
+    """Texts of many forms of few words: packing's lengths take a small part of the encoder's CPU time, as ids are not written."""
+    r, path = random.Random(3), tokenfile.vocabulary_path()
+    words = ["".join(r.choice("aeinrstlo") for _ in range(r.randint(4, 12))) for _ in range(20_000)]
+    texts = pa.array([" ".join(r.choice((str, str.capitalize))(r.choice(words)) + r.choice(("", ",", ".", "&&&")) for _ in range(400)) for _ in range(512)], pa.string())
+    counter, encoder = packing.LengthCounter(path), tokenfile.WordEncoder(path)
+    seconds, found = [], []
+    for count in (counter.count, lambda t: [len(ids) for ids in encoder.encode_batch(t.to_pylist())]):
+        at = time.process_time()
+        found.append(list(count(texts)))
+        seconds.append(time.process_time() - at)
+    assert found[0] == found[1]
+    assert len(counter.known) <= len(set(words)) + 10
+    assert seconds[0] < 0.7 * seconds[1], seconds
+
+
 def test_token_files_end_to_end(spark, tmp_path):
     """The query's rows are those of the library's own ids, in ascending order of ids, a very long text and equal rows included."""
     rows = [(7, "One two, THREE"), (3, None), (5, "lorem  ipsum\tdolor\n" * 30_000), (4, "x y"), (4, "x y"), (9, ""), (1, "日本 é <|endoftext|> z")]
